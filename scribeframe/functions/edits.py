@@ -10,6 +10,7 @@ both ways are exact, and whole texts are always compared.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 # Rows of the distance matrix held in one integer; bounds memory on long texts.
-STRIP_ROWS = 16_384
+STRIP_ROWS = 4_096
 
 # Largest product of lengths for which the built-in function is the faster one
 # (measured: break-even near 200 by 200 characters).
@@ -39,41 +40,72 @@ def edit_distance(left: Sequence, right: Sequence) -> int:
         rows, columns = columns, rows
     if not columns:
         return len(rows)
+    if len(rows) <= STRIP_ROWS:
+        return len(rows) + sum(_advance_strip(rows, columns, [1] * len(columns)))
 
-    # Difference between neighbouring cells along the upper edge of a strip:
-    # all +1 on the first one, then whatever the strip above left behind.
-    edge = [1] * len(columns)
+    # An alignment with d edits never leaves the diagonal by more than d, so a
+    # band as wide as its own result is exact. What a band finds is the cost of
+    # a real alignment, hence wide enough for the next attempt.
+    band = max(_unmatched(rows, columns) * 5 // 4, STRIP_ROWS // 8)
+    while True:
+        distance = _distance_in_band(rows, columns, band)
+        if distance <= band:
+            return distance
+        band = min(2 * band, distance)
+
+
+def _unmatched(rows: Sequence, columns: Sequence) -> int:
+    """Symbols that find no partner whatever their order: a lower bound of the distance."""
+    ours, theirs = Counter(rows), Counter(columns)
+    return max((ours - theirs).total(), (theirs - ours).total())
+
+
+def _distance_in_band(rows: Sequence, columns: Sequence, band: int) -> int:
+    """Distance over alignments that stay within ``band`` of the diagonal, strip by strip."""
+    first, last, value, edge = 0, 0, 0, []
     for low in range(0, len(rows), STRIP_ROWS):
-        edge = _advance_strip(rows[low : low + STRIP_ROWS], columns, edge)
-    return len(rows) + sum(edge)
+        high = min(low + STRIP_ROWS, len(rows))
+        begin, end = max(0, low - band), min(len(columns), high + band)
+        value += sum(edge[: begin - first]) + high - low
+        above = edge[begin - first :] + [1] * (end - last)
+        edge = _advance_strip(rows[low:high], columns[begin:end], above)
+        first, last = begin, end
+    return value + sum(edge)
+
 
+def _advance_strip(rows: Sequence, columns: Sequence, above: list[int]) -> list[int]:
+    """Steps along the lower edge of a strip from the steps along its upper edge.
 
-def _advance_strip(rows: Sequence, columns: Sequence, edge: list[int]) -> list[int]:
+    ``rising`` and ``falling`` mark the rows where the current matrix column goes
+    up or down by one.
+    """
     where: dict = {}
     for index, symbol in enumerate(rows):
         where[symbol] = where.get(symbol, 0) | (1 << index)
-    full = (1 << len(rows)) - 1
-    last = 1 << (len(rows) - 1)
+    height = len(rows)
+    full = (1 << height) - 1
+    wide = (1 << (height + 3)) - 1
+    bottom = height - 1
     rising, falling = full, 0
-    lower_edge = []
-    for symbol, step in zip(columns, edge):
+    below = []
+    for symbol, step in zip(columns, above):
         match = where.get(symbol, 0)
         vertical = match | falling
         if step < 0:
             match |= 1
         diagonal = (((match & rising) + rising) ^ rising) | match
-        up = (falling | ~(diagonal | rising)) & full
+        up = falling | (wide ^ (diagonal | rising))
         down = rising & diagonal
-        lower_edge.append(1 if up & last else -1 if down & last else 0)
+        below.append(((up >> bottom) & 1) - ((down >> bottom) & 1))
         up <<= 1
         down <<= 1
         if step > 0:
             up |= 1
         elif step < 0:
             down |= 1
-        rising = (down | ~(vertical | up)) & full
-        falling = up & vertical & full
-    return lower_edge
+        rising = (down | (wide ^ ((vertical | up) & wide))) & full
+        falling = up & vertical
+    return below
 
 
 def _distances(left: pd.Series, right: pd.Series, pieces) -> pd.Series:
