@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 _shipped: set[str] = set()
+_own_folders: dict[str, str] = {}
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only for a local master."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a local master gets a temporary folder of
+    its own, kept per application and removed at exit. The setting itself is
+    never written: Spark refuses changes to it on a running session.
+    """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="scribeframe-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        folder = tempfile.mkdtemp(prefix="scribeframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folders[application] = folder
+    return _own_folders[application]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the work folder that no other call gets."""
+    return f"{work_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -43,13 +56,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(staged: DataFrame) -> None:
+    """Delete the files of a staged frame that nothing reads any more."""
+    spark = staged.sparkSession
+    roots = {name.rpartition("/")[0] for name in staged.inputFiles()}
+    for root in roots:
+        if root.startswith(("file:", "hdfs:")) or "://" in root:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="scribeframe-zip-")) / "scribeframe.zip"
+    folder = tempfile.mkdtemp(prefix="scribeframe-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "scribeframe.zip"
     with zipfile.ZipFile(archive, "w") as bundle:
         for source in sorted(root.rglob("*.py")):
             bundle.write(source, source.relative_to(root.parent))
@@ -57,13 +82,14 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than cores one task per core.
+def spread(df: DataFrame, *keys: str | Column, partitions: int | None = None) -> DataFrame:
+    """Deal rows out by a unique key before a CPU-heavy step, always.
 
-    Meant for CPU-heavy steps over a single file. A scan that already has
-    enough splits, as any large one has, is returned as it is.
+    The number of scan splits says nothing about where the rows are: one row
+    group is one split's work however many splits the file has.
+    ``partitions`` None leaves the count to ``spark.sql.shuffle.partitions``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    columns = [F.col(key) if isinstance(key, str) else key for key in keys]
+    if partitions is None:
+        return df.repartition(*columns)
+    return df.repartition(partitions, *columns)
