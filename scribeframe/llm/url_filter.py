@@ -124,14 +124,17 @@ def train(
     """Weights per bucket and, last, the bias: gradient descent on the labelled URLs."""
     rows = [grams(*split_url(u)) for u in [*allowed, *blocked]]
     target = np.array([0.0] * len(allowed) + [1.0] * len(blocked))
-    features = np.zeros((len(rows), BUCKETS + 1))
+    seen = np.unique(np.concatenate(rows))
+    features = np.zeros((len(rows), len(seen) + 1))
     for k, found in enumerate(rows):
-        features[k, found] = 1 / np.sqrt(len(found))
+        features[k, np.searchsorted(seen, found)] = 1 / np.sqrt(len(found))
     features[:, -1] = 1
-    weights = np.zeros(BUCKETS + 1)
+    fitted = np.zeros(len(seen) + 1)
     for _ in range(rounds):
-        guess = 1 / (1 + np.exp(-features @ weights))
-        weights -= rate * (features.T @ (guess - target) / len(rows) + decay * weights)
+        guess = 1 / (1 + np.exp(-features @ fitted))
+        fitted -= rate * (features.T @ (guess - target) / len(rows) + decay * fitted)
+    weights = np.zeros(BUCKETS + 1)
+    weights[seen], weights[-1] = fitted[:-1], fitted[-1]
     return weights
 
 
