@@ -46,7 +46,7 @@ def edit_distance(left: Sequence, right: Sequence) -> int:
     # An alignment with d edits never leaves the diagonal by more than d, so a
     # band as wide as its own result is exact. What a band finds is the cost of
     # a real alignment, hence wide enough for the next attempt.
-    band = max(_unmatched(rows, columns) * 5 // 4, STRIP_ROWS // 8)
+    band = max(_unmatched(rows, columns) * 5 // 4, STRIP_ROWS // 8, 1)
     while True:
         distance = _distance_in_band(rows, columns, band)
         if distance <= band:
@@ -129,8 +129,14 @@ def _long_char_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Word edits between two normalised texts; null when either is null."""
-    return _word_edits(ref, hyp)
+    """Word edits between two normalised texts; null when either is null.
+
+    Equal texts have no edits and stay in the JVM.
+    """
+    same = ref == hyp
+    return F.when(same, F.lit(0).cast("bigint")).otherwise(
+        _word_edits(F.when(~same, ref), F.when(~same, hyp))
+    )
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:

@@ -67,7 +67,7 @@ def normalize_basic(text: Column) -> Column:
     """Lower-case, drop bracketed remarks, NFKC, marks/symbols/punctuation to spaces, squeeze."""
     spoken = F.regexp_replace(F.lower(text), r"[<\[][^>\]]*[>\]]", "")
     spoken = F.regexp_replace(spoken, r"\([^)]+\)", "")
-    spaced = F.regexp_replace(nfkc(spoken), r"[\p{M}\p{S}\p{P}]", " ")
+    spaced = F.regexp_replace(nfkc(spoken, seen=text), r"[\p{M}\p{S}\p{P}]", " ")
     return squeeze(F.lower(spaced))
 
 
@@ -115,8 +115,12 @@ def _normal_form(form: str):
     def apply_form(text: pd.Series) -> pd.Series:
         return text.str.normalize(form)
 
-    def column(text: Column) -> Column:
-        needs_it = text.rlike(unstable)
+    def column(text: Column, seen: Column | None = None) -> Column:
+        """The form of ``text``. ``seen`` is a text that holds an unstable character
+        wherever ``text`` does, such as the one it was cut from: the test on it
+        keeps a long expression for ``text`` from being evaluated once more.
+        """
+        needs_it = (text if seen is None else seen).rlike(unstable)
         return F.when(needs_it, apply_form(F.when(needs_it, text))).otherwise(text)
 
     return column

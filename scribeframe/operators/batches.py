@@ -45,8 +45,8 @@ def _over_batch() -> Window:
 
 
 def pad_labels(df: DataFrame, labels: str = "labels", filler: int = IGNORED_LABEL) -> DataFrame:
-    """Bring all labels of a batch to the same length with ``filler``."""
-    longest = F.max(F.size(labels)).over(_over_batch())
+    """Bring all labels of a batch to the same length with ``filler``; null labels stay null."""
+    longest = F.max(F.array_size(labels)).over(_over_batch())
     return df.withColumn("_longest", longest).withColumn(
         labels,
         F.concat(labels, F.array_repeat(F.lit(filler), F.col("_longest") - F.size(labels))),
@@ -54,8 +54,12 @@ def pad_labels(df: DataFrame, labels: str = "labels", filler: int = IGNORED_LABE
 
 
 def drop_start_token(df: DataFrame, token: int, labels: str = "labels") -> DataFrame:
-    """Remove the first label of a batch when every row of the batch starts with ``token``."""
-    starts = F.coalesce(F.get(F.col(labels), F.lit(0)) == token, F.lit(False))
+    """Remove the first label of a batch when every row of the batch starts with ``token``.
+
+    Rows without labels have no say; a batch of them alone stays as it is.
+    """
+    first = F.coalesce(F.get(F.col(labels), F.lit(0)) == token, F.lit(False))
+    starts = F.when(F.col(labels).isNotNull(), first)
     everywhere = F.every(starts).over(_over_batch())
     rest = F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0)))
     return df.withColumn("_all", everywhere).withColumn(

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribeframe.functions.metrics import improvement, improvement_percent
+from scribeframe.functions.edits import word_edits
+from scribeframe.functions.metrics import error_rate, improvement, improvement_percent
+from scribeframe.functions.text import PROFILES, words
 
 # Objective names and what each one asks for.
 OBJECTIVES = {
@@ -41,6 +43,35 @@ def pair_models(
     )
 
 
+def score_both(
+    df: DataFrame,
+    profile: str = "basic",
+    key: str = "sample_id",
+    shared: Sequence[str] = ("reference",),
+) -> DataFrame:
+    """Both models' scores where one table holds both hypotheses, without a join.
+
+    ``df`` has ``key``, ``reference``, ``baseline_hypothesis`` and
+    ``candidate_hypothesis``; the result has the columns of ``pair_models``.
+    The reference is normalised once.
+    """
+    normalize = PROFILES[profile]
+    ref = F.col("reference")
+    out = df.withColumn("_ref", F.when(ref.isNotNull(), normalize(ref)))
+    out = out.withColumn("_ref_words", F.size(words(F.col("_ref"))).cast("bigint"))
+    columns = []
+    for prefix in ("baseline", "candidate"):
+        hyp = F.col(f"{prefix}_hypothesis")
+        out = out.withColumn(f"_{prefix}", F.when(hyp.isNotNull(), normalize(hyp)))
+        count = F.size(words(F.col(f"_{prefix}"))).cast("bigint")
+        out = out.withColumn(f"{prefix}_word_edits", word_edits(F.col("_ref"), F.col(f"_{prefix}")))
+        out = out.withColumn(f"{prefix}_ref_words", F.when(hyp.isNotNull(), F.col("_ref_words")))
+        rate = error_rate(F.col(f"{prefix}_word_edits"), F.col("_ref_words"), count, ref, hyp)
+        out = out.withColumn(f"{prefix}_wer", rate)
+        columns += [f"{prefix}_{c}" for c in ("hypothesis", "word_edits", "ref_words", "wer")]
+    return out.select(key, *shared, *columns)
+
+
 def compare(paired: DataFrame, language: str | None = None, tolerance: float = 0.0) -> DataFrame:
     """One row: corpus error rate of each model and the gain of the candidate.
 
@@ -124,9 +155,11 @@ def first_examples(paired: DataFrame, key: str = "sample_id", n: int = 3) -> Dat
 
 
 def worst_examples(paired: DataFrame, key: str = "sample_id", n: int = 10) -> DataFrame:
-    """The samples on which the candidate lost most against the baseline."""
+    """The samples on which the candidate lost most against the baseline.
+
+    Samples without a loss sort last and go after the limit: a filter before it
+    would move below the scoring and compute the edits twice.
+    """
     loss = F.col("candidate_wer") - F.col("baseline_wer")
-    return (
-        paired.filter(loss.isNotNull()).withColumn("loss", loss)
-        .orderBy(F.desc("loss"), F.asc(key)).limit(n)
-    )
+    worst = paired.withColumn("loss", loss).orderBy(F.desc_nulls_last("loss"), F.asc(key)).limit(n)
+    return worst.filter("loss is not null").orderBy(F.desc("loss"), F.asc(key))

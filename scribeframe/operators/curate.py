@@ -11,14 +11,16 @@ from scribeframe.functions.audio import duration_rounded
 from scribeframe.functions.text import normalize_strict, not_blank, strip
 
 # Accepted duration in seconds, shortest course transcript,
-# sampling rate, column names tried in order, and the mixture aimed at.
+# sampling rate, column names tried in order, the mixture aimed at, and the
+# message of an invalid duration (id and seconds are put in).
 MIN_DURATION = 10.0
 MAX_DURATION = 600.0
 MIN_TEXT_LENGTH = 10
 SAMPLING_RATE = 16_000
 AUDIO_COLUMNS = ("audio", "speech", "sound")
 TEXT_COLUMNS = ("transcription", "text", "sentence", "transcript")
-TARGET_SHARES = {"summre": 0.40, "pastel": 0.40, "voxpopuli": 0.20}
+TARGET_SHARES = {"SUMM-RE": 0.40, "PASTEL": 0.40, "VoxPopuli": 0.20}
+INVALID_DURATION = ("Invalid duration for ", ": ", "s")
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -131,16 +133,27 @@ def invalid_durations(
     seconds = F.coalesce(F.col("duration"), F.lit(0.0))
     return metadata.filter(~seconds.between(low, high)).select(
         "id",
-        F.concat(F.lit("Invalid duration for "), F.col("id"), F.lit(": "), seconds, F.lit("s"))
-        .alias("error"),
+        F.concat(
+            F.lit(INVALID_DURATION[0]),
+            F.coalesce("id", F.lit("")),
+            F.lit(INVALID_DURATION[1]),
+            seconds,
+            F.lit(INVALID_DURATION[2]),
+        ).alias("error"),
     )
 
 
-def validate(metadata: DataFrame, audio_paths: DataFrame, ref_paths: DataFrame) -> DataFrame:
-    """All violations: paths not listed and durations out of range. Valid when empty."""
+def validate(
+    metadata: DataFrame, audio_paths: DataFrame, ref_paths: DataFrame, root: str | None = None
+) -> DataFrame:
+    """All violations: paths not listed and durations out of range. Valid when empty.
+
+    ``root`` is the folder that relative metadata paths start from.
+    """
     from scribeframe.operators.match import missing_files
 
-    return missing_files(metadata, audio_paths, ref_paths).unionByName(invalid_durations(metadata))
+    missing = missing_files(metadata, audio_paths, ref_paths, root)
+    return missing.unionByName(invalid_durations(metadata))
 
 
 def validity(violations: DataFrame) -> DataFrame:
@@ -151,7 +164,7 @@ def validity(violations: DataFrame) -> DataFrame:
 
 
 def corpus_summary(metadata: DataFrame, total: str = "TOTAL") -> DataFrame:
-    """Files and minutes per source and in all."""
+    """Files and minutes per source, sources in order of their names, and last in all."""
     report = metadata.rollup("source").agg(
         F.grouping("source").alias("_total"),
         F.count(F.lit(1)).alias("files"),
@@ -162,11 +175,11 @@ def corpus_summary(metadata: DataFrame, total: str = "TOTAL") -> DataFrame:
         (F.col("_total") == 1).alias("is_total"),
         "files",
         "minutes",
-    )
+    ).orderBy("is_total", "source")
 
 
 def mixture_report(df: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Share of each source and its distance from the target share."""
+    """Share of each source and its distance from the target share, in order of the names."""
     targets = TARGET_SHARES if targets is None else targets
     spark = df.sparkSession
     goal = spark.createDataFrame(list(targets.items()), "source string, target double")
@@ -177,6 +190,7 @@ def mixture_report(df: DataFrame, targets: dict[str, float] | None = None) -> Da
         .withColumn("files", F.coalesce("files", F.lit(0).cast("bigint")))
         .withColumn("share", F.try_divide(F.col("files"), everything))
         .withColumn("gap", F.col("share") - F.col("target"))
+        .orderBy("source")
     )
 
 
@@ -187,12 +201,17 @@ def union_sources(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def size_report(df: DataFrame, text: str = "text") -> tuple[DataFrame, Observation]:
-    """The frame unchanged plus an observation of its size, filled by the next action."""
+def size_report(
+    df: DataFrame, text: str = "text", split: str | None = None
+) -> tuple[DataFrame, Observation]:
+    """The frame unchanged plus an observation of its size, filled by the next action.
+
+    ``loaded`` and ``kept`` rows and, where ``split`` names the column of the
+    sides, ``train`` and ``test`` rows among the kept.
+    """
+    kept = not_blank(F.col(text))
+    counts = [F.count(F.lit(1)).alias("loaded"), F.count_if(kept).alias("kept")]
+    if split is not None:
+        counts += [F.count_if(kept & (F.col(split) == side)).alias(side) for side in ("train", "test")]
     seen = Observation()
-    observed = df.observe(
-        seen,
-        F.count(F.lit(1)).alias("loaded"),
-        F.count_if(not_blank(F.col(text))).alias("kept"),
-    )
-    return observed, seen
+    return df.observe(seen, *counts), seen

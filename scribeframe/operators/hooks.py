@@ -22,6 +22,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from scribeframe.session import stage
+
 Transcriber = Callable[[object], str]
 Encoder = Callable[[object, str], tuple[list | None, list[int]]]
 
@@ -37,11 +39,13 @@ def transcribe(
     factory: Callable[[], Transcriber],
     key: str = "sample_id",
     audio: str = "content",
+    batch_size: int = 1,
 ) -> DataFrame:
     """``key, hypothesis, error``: the stripped output of the model for each row.
 
-    ``factory`` builds the model once per task; ``arrow.maxRecordsPerBatch``
-    sets how many rows reach Python at a time.
+    ``factory`` builds the model once per task. With a ``batch_size`` above 1 the
+    model takes a list of that many contents at most and returns as many texts;
+    a batch that fails is tried again row by row, so the error stays with its row.
     """
     narrow = df.select(key, audio)
     schema = StructType(
@@ -53,17 +57,29 @@ def transcribe(
         for batch in batches:
             if model is None:
                 model = factory()
-            rows = []
-            for name, content in zip(batch[key], batch[audio]):
-                try:
-                    rows.append((name, model(content).strip(), None))
-                except Exception as error:  # noqa: BLE001 - any model failure belongs to its row
-                    rows.append((name, None, str(error)))
+            contents = list(batch[audio])
+            heard = []
+            for at in range(0, len(contents), batch_size):
+                heard += _heard(model, contents[at : at + batch_size], batch_size > 1)
+            rows = [(name, *result) for name, result in zip(batch[key], heard, strict=True)]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return narrow.mapInPandas(run, schema)
 
 
+def _heard(model, contents: list, many: bool) -> list[tuple[str | None, str | None]]:
+    """Text and error of each content; any model failure belongs to its row."""
+    try:
+        texts = list(model(contents)) if many else [model(contents[0])]
+        if len(texts) != len(contents):
+            raise ValueError(f"{len(texts)} texts for {len(contents)} rows")
+        return [(text.strip(), None) for text in texts]
+    except Exception as error:  # noqa: BLE001
+        if len(contents) == 1:
+            return [(None, str(error))]
+    return [pair for content in contents for pair in _heard(model, [content], many)]
+
+
 def pseudo_references(df: DataFrame, factory: Callable[[], Transcriber], **names: str) -> DataFrame:
     """Model output to be used as references, marked as not being ground truth."""
     return (
@@ -122,12 +138,19 @@ def evaluate_model(
     reference: str = "reference",
     profile: str = "basic",
     n: int | None = None,
-) -> DataFrame:
-    """Transcribe, then score against the reference; at most the first ``n`` rows if given."""
+    batch_size: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """Transcribe, then score against the reference; at most the first ``n`` rows if given.
+
+    Returns the scored rows and, as ``key, reason``, those the model failed on.
+    The model runs once: its output is staged in the work folder.
+    """
     from scribeframe.operators.sampling import first_n
     from scribeframe.operators.scoring import score_pairs
 
     chosen = df if n is None else first_n(df, key, n)
-    hypotheses = transcribe(chosen, factory, key=key, audio=audio).filter("error is null")
-    pairs = chosen.select(key, F.col(reference).alias("reference")).join(hypotheses, key)
-    return score_pairs(pairs.drop("error"), profile=profile)
+    heard = stage(transcribe(chosen, factory, key=key, audio=audio, batch_size=batch_size), "heard")
+    pairs = chosen.select(key, F.col(reference).alias("reference"))
+    pairs = pairs.join(heard.filter("error is null").drop("error"), key)
+    rejects = heard.filter("error is not null").select(key, F.col("error").alias("reason"))
+    return score_pairs(pairs, profile=profile), rejects

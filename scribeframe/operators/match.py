@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Messages of the validation report, with the path after them.
+MISSING = {"audio_path": "Missing audio: ", "ref_path": "Missing reference: "}
+
 # Order in which audio is looked up beside a transcript, and
 # beside a course transcript. The first hit wins.
 TRANSCRIPT_AUDIO = ("wav", "mp3", "flac", "m4a")
@@ -88,14 +91,28 @@ def _accepted(audio: DataFrame, order: Sequence[str]) -> DataFrame:
     return audio.filter(F.col("extension").isin(*order))
 
 
-def missing_files(metadata: DataFrame, audio_paths: DataFrame, ref_paths: DataFrame) -> DataFrame:
-    """One row per path that the metadata names and the listings lack."""
-    def lacking(column: str, listing: DataFrame, what: str) -> DataFrame:
-        listed = listing.select(F.col("path").alias(column))
-        return metadata.join(listed, column, "left_anti").select(
-            "id", F.concat(F.lit(f"Missing {what}: "), F.col(column)).alias("error")
+def plain_path(path: Column, root: str | None = None) -> Column:
+    """A path without scheme and authority, doubled slashes single; relative ones below ``root``."""
+    bare = F.regexp_replace(path, r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+    if root is not None:
+        bare = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), bare))
+        bare = F.regexp_replace(bare, r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+    return F.regexp_replace(bare, "/{2,}", "/")
+
+
+def missing_files(
+    metadata: DataFrame, audio_paths: DataFrame, ref_paths: DataFrame, root: str | None = None
+) -> DataFrame:
+    """One row per path that the metadata names and the listings lack.
+
+    Listings name files by URI and metadata by plain path, so both are compared
+    as plain paths. ``root`` is the folder that relative metadata paths start from.
+    """
+    def lacking(column: str, listing: DataFrame) -> DataFrame:
+        listed = listing.select(plain_path(F.col("path")).alias("_path"))
+        named = metadata.withColumn("_path", plain_path(F.col(column), root))
+        return named.join(listed, "_path", "left_anti").select(
+            "id", F.concat(F.lit(MISSING[column]), F.coalesce(column, F.lit(""))).alias("error")
         )
 
-    return lacking("audio_path", audio_paths, "audio").unionByName(
-        lacking("ref_path", ref_paths, "reference")
-    )
+    return lacking("audio_path", audio_paths).unionByName(lacking("ref_path", ref_paths))

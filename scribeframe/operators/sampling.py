@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scribeframe.session import stage
+from scribeframe.session import release, stage
 
 SEED = 42
 TRAIN_SHARE = 0.95
@@ -24,9 +24,6 @@ TRAIN_SHARE = 0.95
 _DIGITS = 4
 _FEW_ROWS = 10_000
 
-# Map-side limits of a window are only planned up to this rank.
-_WINDOW_LIMIT = 1_000
-
 
 def with_position(
     df: DataFrame, key: str | Sequence[str], within: str | Sequence[str] = (), name: str = "position"
@@ -67,15 +64,13 @@ def with_position(
 
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first ``n`` rows in key order.
+    """The first ``n`` rows in key order, exactly ``n`` if there are as many.
 
-    Small limits are a top-k. Beyond that, positions of the key alone give the
-    last key to keep and the rows are filtered by it.
+    A top-k: every task keeps ``n`` rows and one merges them. Null keys come
+    first; which of several rows with the last key stay is not defined. To cut
+    a table at a position too large for one task, filter ``with_position``.
     """
-    if n <= _FEW_ROWS:
-        return df.orderBy(key).limit(n)
-    last = with_position(df.select(key), key).filter(F.col("position") == n - 1).first()
-    return df if last is None else df.filter(F.col(key) <= F.lit(last[key]))
+    return df.orderBy(key).limit(n)
 
 
 def positional_slice(df: DataFrame, key: str, n: int = 8, part: int = 3) -> DataFrame:
@@ -84,8 +79,8 @@ def positional_slice(df: DataFrame, key: str, n: int = 8, part: int = 3) -> Data
     Only keys are sorted. The limits of the slice become literals, so the scan of
     the whole rows prunes by them and nothing wide is shuffled.
     """
-    start = df.count() // part
     ranked = with_position(df.select(key), key)
+    start = ranked.count() // part
     chosen = stage(
         ranked.filter(F.col("position").between(start, start + n - 1)).select(
             key, (F.col("position") - start).alias("position")
@@ -100,18 +95,16 @@ def positional_slice(df: DataFrame, key: str, n: int = 8, part: int = 3) -> Data
 def quota_per_group(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """At most ``n`` rows per group, the first ones in key order.
 
-    Only group and key are ranked. A first rank per task keeps ``n`` rows of
-    each group before anything meets, so a hot group sends a bounded number of
-    rows to its final task; larger quotas take positions instead. The chosen
-    keys are staged, and their size on disk decides how they are joined back.
+    ``key`` is unique together with its group; nulls count as values of both.
+    Only group and key are ranked. A first rank per slice of a group keeps ``n``
+    rows each before the slices meet, so a hot group sends a bounded number of
+    rows to its final task.
     """
-    narrow = df.select(group, key)
-    if n <= _WINDOW_LIMIT:
-        local = narrow.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-        chosen = _top(_top(local, [group, "_salt"], key, n), [group], key, n)
-    else:
-        chosen = with_position(narrow, key, group).filter(F.col("position") < n)
-    return df.join(stage(chosen.select(key), "quota"), key, "left_semi")
+    sliced = df.select(group, key).withColumn("_salt", F.pmod(F.xxhash64(group, key), F.lit(64)))
+    chosen = _top(_top(sliced, [group, "_salt"], key, n), [group], key, n)
+    chosen = chosen.select(F.col(group).alias("_group"), F.col(key).alias("_key"))
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col(key).eqNullSafe(F.col("_key"))
+    return df.join(chosen, same, "left_semi")
 
 
 def _top(df: DataFrame, groups: list[str], key: str, n: int) -> DataFrame:
@@ -147,6 +140,8 @@ def shuffled(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
 def hash_split(key: str, train_share: float = TRAIN_SHARE, seed: int = SEED) -> Column:
     """``test`` when the hash of the key falls below the test share, else ``train``.
 
+    A null key has no hash and goes to ``train``.
+
     No shuffle and no counting. Each row keeps its side when others come and go;
     the size of the test set is only right on average.
     """
@@ -161,10 +156,13 @@ def exact_split(
     """Side of each row of ``df`` with exactly ``ceil((1 - train_share) * rows)`` test rows.
 
     The rows are not shuffled: histograms of the hash find the last test row, and
-    the column returned compares with it.
+    the column returned compares with it. A null key has no place in the order
+    and raises a ``ValueError``.
     """
     hashed = df.select(shuffle_hash(key, seed).alias("_hash"), F.col(key).alias("_key"))
+    hashed = stage(hashed, "hashed-keys")
     last = _last_of_first(hashed, train_share)
+    release(hashed)
     if last is None:
         return F.lit("train")
     place = shuffle_hash(key, seed)
@@ -195,6 +193,8 @@ def _last_of_first(hashed: DataFrame, train_share: float):
         histogram = dict(
             within.groupBy(F.substring("_hash", 1, size).alias("p")).count().collect()
         )
+        if None in histogram:
+            raise ValueError("rows with a null key can't be split exactly; reject them first")
         if wanted is None:
             wanted = math.ceil((1 - train_share) * sum(histogram.values()))
             if wanted == 0:

@@ -59,7 +59,8 @@ def score_pairs(
 def error_rates(scored: DataFrame, by: str = "subset", total: str = TOTAL) -> DataFrame:
     """Mean error rate per subset and over all samples, in one pass.
 
-    The total weighs every sample alike; it is not the mean of the subset means.
+    Subsets come in order of their names and the total last. The total weighs
+    every sample alike; it is not the mean of the subset means.
     ``corpus_wer`` divides all edits by all reference words instead. CER columns
     appear when the rows were scored with CER.
     """
@@ -82,7 +83,7 @@ def error_rates(scored: DataFrame, by: str = "subset", total: str = TOTAL) -> Da
         label.alias(by),
         (F.col("_total") == 1).alias("is_total"),
         *[c for c in report.columns if c not in (by, "_total")],
-    )
+    ).orderBy("is_total", by)
 
 
 def corpus_error_rate(scored: DataFrame) -> DataFrame:
@@ -112,4 +113,4 @@ def with_all_subsets(
             "avg_wer": F.lit(0.0 if empty_as_zero else None).cast("double"),
         }
     )
-    return report.unionByName(missing, allowMissingColumns=True)
+    return report.unionByName(missing, allowMissingColumns=True).orderBy("is_total", by)

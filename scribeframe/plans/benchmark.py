@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from scribeframe.operators.hooks import Transcriber, transcribe
 from scribeframe.operators.match import match_audio_references
 from scribeframe.operators.scoring import error_rates, score_pairs, with_all_subsets
-from scribeframe.sources.files import AUDIO_FOLDER, scan_audio, scan_benchmark
+from scribeframe.session import stage
+from scribeframe.sources.files import scan_benchmark, with_content
 
 # Subsets of a benchmark tree unless others are named.
 DEFAULT_SUBSETS = ("meetings", "telephone", "accents", "longform")
@@ -63,6 +64,7 @@ def run_benchmark(
     subsets: Sequence[str] = DEFAULT_SUBSETS,
     profile: str = "eval",
     with_cer: bool = False,
+    batch_size: int = 1,
 ) -> tuple[BenchmarkResult | None, DataFrame]:
     """Scan a benchmark tree, transcribe with the given model and score.
 
@@ -71,21 +73,16 @@ def run_benchmark(
     audio, references, warnings = scan_benchmark(spark, root, subsets)
     if audio is None:
         return None, warnings
-    complete = [
-        s for s in subsets
-        if s not in {row.subset for row in warnings.collect()}
-    ]
-    contents = scan_audio(
-        spark, *[f"{root}/{s}/{AUDIO_FOLDER}" for s in complete], content=True
-    )
-    wanted = contents.join(references.select("subset", "stem"), ["subset", "stem"], "left_semi")
-    heard = transcribe_files(wanted, factory)
-    return benchmark_report(audio, references, heard, profile, with_cer), warnings
+    # Paths are joined and bytes read after that; the model runs once, its output is staged.
+    wanted = audio.join(references.select("subset", "stem"), ["subset", "stem"], "left_semi")
+    contents = with_content(wanted.select("path"))
+    heard = stage(transcribe_files(contents, factory, batch_size), "heard")
+    return benchmark_report(audio, references, heard, profile, with_cer, subsets), warnings
 
 
-def transcribe_files(contents: DataFrame, factory) -> DataFrame:
+def transcribe_files(contents: DataFrame, factory, batch_size: int = 1) -> DataFrame:
     """``subset, audio_file, hypothesis, error`` for audio files read with their content."""
-    heard = transcribe(contents.select("path", "content"), factory, key="path")
+    heard = transcribe(contents.select("path", "content"), factory, key="path", batch_size=batch_size)
     segments = F.split("path", "/")
     return heard.select(
         F.element_at(segments, -3).alias("subset"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scribeframe.operators.batches import drop_start_token, length_groups, pad_labels
 from scribeframe.operators.curate import drop_empty_text
@@ -17,6 +19,7 @@ from scribeframe.sinks import materialize_once
 class TrainingTables:
     train: DataFrame
     test: DataFrame
+    rejects: DataFrame
 
 
 def prepare_training(
@@ -29,11 +32,13 @@ def prepare_training(
     exact: bool = False,
     train_share: float = TRAIN_SHARE,
     seed: int = SEED,
+    data: Sequence[str] = (),
 ) -> TrainingTables:
     """Drop empty texts, split, encode once, and read the encoded sides back.
 
-    ``inputs`` describes the corpus and the encoder; another description is
-    another table.
+    ``inputs`` describes the corpus and the encoder and ``data`` names the files
+    it was read from; another description or changed files are another table.
+    Rows that the encoder failed on are rejects, ``key, split, reason``.
     """
     described = {**inputs, "exact": exact, "train_share": train_share, "seed": seed}
 
@@ -46,10 +51,12 @@ def prepare_training(
         )
         return encode_rows(spoken, factory, key=key).withColumn("split", side)
 
-    tables = materialize_once(spark, folder, described, build)
+    tables = materialize_once(spark, folder, described, build, data)
+    encoded = tables.filter("error is null").drop("error")
     return TrainingTables(
-        train=tables.filter("split = 'train'").drop("split"),
-        test=tables.filter("split = 'test'").drop("split"),
+        train=encoded.filter("split = 'train'").drop("split"),
+        test=encoded.filter("split = 'test'").drop("split"),
+        rejects=tables.filter("error is not null").select(key, "split", F.col("error").alias("reason")),
     )
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeframe.sources.files import path_exists
+from scribeframe.sources.files import file_facts, path_exists
 
 SCORE_COLUMNS = ("subset", "audio_file", "reference", "hypothesis", "wer", "cer")
 
@@ -69,14 +69,20 @@ def export_binary_files(contents: DataFrame, folder: str, suffix: str) -> None:
 
 
 def materialize_once(
-    spark: SparkSession, folder: str, inputs: dict, build: Callable[[], DataFrame]
+    spark: SparkSession,
+    folder: str,
+    inputs: dict,
+    build: Callable[[], DataFrame],
+    data: Sequence[str] = (),
 ) -> DataFrame:
     """Compute a table once per description of its inputs, afterwards read it.
 
-    The path holds a digest of ``inputs``, so a changed configuration is a new
-    table. A table without its success mark is computed again.
+    The path holds a digest of ``inputs`` and of the files below the ``data``
+    paths (name, size, time of change), so a changed configuration or changed
+    input is a new table. A table without its success mark is computed again.
     """
-    digest = hashlib.sha256(json.dumps(inputs, sort_keys=True).encode()).hexdigest()[:16]
+    described = {"inputs": inputs, "data": [file_facts(spark, path) for path in data]}
+    digest = hashlib.sha256(json.dumps(described, sort_keys=True).encode()).hexdigest()[:16]
     path = f"{folder.rstrip('/')}/{digest}"
     if not path_exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)

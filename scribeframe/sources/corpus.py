@@ -55,9 +55,12 @@ def read_first_available(spark: SparkSession, sources: Sequence[Source]) -> Data
     raise failure if failure is not None else ValueError("no sources given")
 
 
-def first_valid(df: DataFrame, key: str, n: int, valid: Column) -> DataFrame:
-    """The first ``n`` valid rows among the first ``2 n`` rows in key order."""
-    return first_n(first_n(df, key, 2 * n).filter(valid), key, n)
+def first_valid(
+    df: DataFrame, key: str, n: int, valid: Column, look_at: int | None = None
+) -> DataFrame:
+    """The first ``n`` valid rows in key order; ``look_at`` limits how many rows are tried."""
+    tried = df if look_at is None else first_n(df, key, look_at)
+    return first_n(tried.filter(valid), key, n)
 
 
 def references_from_corpus(

@@ -1,7 +1,8 @@
 """File-tree scans.
 
 Spark lists the folders and gives each task its share of the files. Names that
-start with ``.`` or ``_`` are never listed. Keys come from the path: ``stem`` is
+start with ``.`` or ``_`` are never listed; ``unlisted_files`` names them, and
+``scan_benchmark`` puts them among its warnings. Keys come from the path: ``stem`` is
 the file name without its suffix, ``subset`` the folder two levels up.
 """
 
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from scribeframe.functions.audio import duration_rounded, duration_seconds, wav_full_facts, wav_head_facts
 from scribeframe.functions.text import file_name, file_stem, path_segment, strip
@@ -22,7 +24,7 @@ from scribeframe.functions.transcripts import (
     trs_transcript,
     unix_newlines,
 )
-from scribeframe.operators.curate import MIN_TEXT_LENGTH, SAMPLING_RATE, minimum_length
+from scribeframe.operators.curate import MIN_TEXT_LENGTH, SAMPLING_RATE
 from scribeframe.operators.match import COURSE_AUDIO, TRANSCRIPT_AUDIO, attach_preferred_audio, texts_with_audio
 
 # Audio extensions (lower or all upper case), the course folder
@@ -38,6 +40,47 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def file_facts(spark: SparkSession, path: str) -> list[list]:
+    """Name, size and time of change of every file at or below a path, in order of the names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, facts = system.listFiles(target, True), []
+    while found.hasNext():
+        one = found.next()
+        facts.append([one.getPath().toString(), one.getLen(), one.getModificationTime()])
+    return sorted(facts)
+
+
+def unlisted_files(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder that Spark's file sources pass over."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [entry.getPath().getName() for entry in system.listStatus(target)]
+    return sorted(n for n in names if n.startswith((".", "_")) and not n.endswith(".crc"))
+
+
+def with_content(files: DataFrame, path: str = "path") -> DataFrame:
+    """Add ``content``, the bytes of each named file, read by the tasks.
+
+    For lists of files that a join has narrowed down: the bytes are read after
+    it and never shuffled.
+    """
+    schema = StructType([*files.schema.fields, StructField("content", BinaryType())])
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            contents = []
+            for name in batch[path]:
+                system, place = fs.FileSystem.from_uri(name if ":" in name else f"file://{name}")
+                with system.open_input_stream(place) as stream:
+                    contents.append(stream.read())
+            yield batch.assign(content=contents)
+
+    return files.mapInPandas(read, schema)
+
+
 def _decoded(path: Column) -> Column:
     """``_metadata.file_path`` is a URI; give back the plain characters."""
     plus_kept = F.regexp_replace(path, r"\+", "%2B")
@@ -99,7 +142,7 @@ def scan_benchmark(
     """Audio, references and warnings of a benchmark tree.
 
     A subset that lacks its audio or its reference folder is left out and named
-    in the warnings. Without any complete subset the first two are ``None``.
+    in the warnings, and so are files that the scans don't list. Without any complete subset the first two are ``None``.
     """
     complete, warnings = [], []
     for subset in subsets:
@@ -110,6 +153,11 @@ def scan_benchmark(
                 break
         else:
             complete.append(subset)
+            warnings += [
+                (subset, f"file not listed: {folder}/{name}")
+                for folder in (AUDIO_FOLDER, REFERENCE_FOLDER)
+                for name in unlisted_files(spark, f"{root}/{subset}/{folder}")
+            ]
     report = spark.createDataFrame(warnings, "subset string, warning string")
     if not complete:
         return None, None, report
@@ -143,10 +191,15 @@ def scan_stm_cues(spark: SparkSession, *folders: str, drop_label: bool = False)
     ).filter("filename <> ''")
 
 
-def scan_trs(spark: SparkSession, *folders: str, element_text_only: bool = False) -> DataFrame:
-    """``path, subset, stem, text`` of TRS files; unreadable XML gives an empty text."""
+def scan_trs(
+    spark: SparkSession,
+    *folders: str,
+    element_text_only: bool = False,
+    unreadable: str | None = "",
+) -> DataFrame:
+    """``path, subset, stem, text`` of TRS files; unreadable XML gives the text ``unreadable``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.trs").load(list(folders))
-    text = F.coalesce(trs_transcript(F.col("content"), element_text_only), F.lit(""))
+    text = F.coalesce(trs_transcript(F.col("content"), element_text_only), F.lit(unreadable))
     keys = [value.alias(name) for name, value in _keys(F.col("path")).items()]
     return files.select("path", *keys, text.alias("text"))
 
@@ -183,25 +236,34 @@ def text_references(
 def discover_courses(
     spark: SparkSession, root: str, element_text_only: bool = False
 ) -> DataFrame:
-    """``course, stem, text`` of all complete courses below ``root/data``.
+    """``course, stem, text, reason`` of all complete courses below ``root/data``.
+
+    ``reason`` is null for usable transcripts, else ``unreadable`` or ``too
+    short``. Without any such tree there are no rows.
 
     A course with STM files is read from those, any other from its TRS files.
     Whether a course has STM files is known from the listing, so no transcript
     is compared with another.
     """
     manual = f"{root}/data/*/{MANUAL_FOLDER}"
+    if not _matches(spark, manual):
+        return spark.createDataFrame([], "course string, stem string, text string, reason string")
     course = path_segment(F.col("path"), 3)
     whole = (~course.startswith(".")) & (course != INCOMPLETE_COURSES)
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.stm").load(manual)
     with_stm = listing.select(course.alias("course")).distinct()
     stm = scan_stm(spark, manual).filter(whole).select(course.alias("course"), "stem", "text")
     trs = (
-        scan_trs(spark, manual, element_text_only=element_text_only)
+        scan_trs(spark, manual, element_text_only=element_text_only, unreadable=None)
         .filter(whole)
         .select(course.alias("course"), "stem", "text")
         .join(with_stm, "course", "left_anti")
     )
-    return minimum_length(stm.unionByName(trs))
+    texts = stm.unionByName(trs)
+    reason = F.when(F.col("text").isNull(), "unreadable").when(
+        F.length(strip(F.col("text"))) < MIN_TEXT_LENGTH, "too short"
+    )
+    return texts.withColumn("reason", reason)
 
 
 def course_audio(spark: SparkSession, root: str) -> DataFrame:
@@ -242,14 +304,18 @@ def _matches(spark: SparkSession, pattern: str) -> bool:
 
 
 def course_samples(spark: SparkSession, root: str) -> DataFrame:
-    """Course transcripts with the audio found in one of three folders, else a ``reason``."""
-    return attach_preferred_audio(
-        discover_courses(spark, root),
+    """Course transcripts with the audio found in one of three folders, else a ``reason``.
+
+    The reason is that of the transcript, or else the lack of audio.
+    """
+    found = attach_preferred_audio(
+        discover_courses(spark, root).withColumnRenamed("reason", "_unusable"),
         course_audio(spark, root),
         keys=("course", "stem"),
         order=COURSE_AUDIO,
         folder_rank="folder_rank",
     )
+    return found.withColumn("reason", F.coalesce("_unusable", "reason")).drop("_unusable")
 
 
 def audio_inventory(audio: DataFrame, content: str = "content") -> DataFrame:

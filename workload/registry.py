@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents for CPU-heavy steps: one task per core even from a single file."""
+    """Documents for CPU-heavy steps, dealt out by their id however the file is cut."""
     return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
 
 

@@ -159,9 +159,16 @@ def corpus_rate(spark, sf_dir):
 
 
 def paired_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    baseline = score_pairs(hypotheses(spark, sf_dir, BASELINE), "strict")
-    candidate = score_pairs(hypotheses(spark, sf_dir, CANDIDATE), "strict")
-    return compare.pair_models(baseline, candidate, shared=["reference", "subset"])
+    """Both models' hypotheses of every document, scored side by side in one pass."""
+    normalized = PROFILES["strict"](F.col("text"))
+    docs = documents(spark, sf_dir, "text", "lang").select(
+        F.col("doc_id").alias("sample_id"),
+        F.col("lang").alias("subset"),
+        F.col("text").alias("reference"),
+        misheard(normalized, *BASELINE).alias("baseline_hypothesis"),
+        misheard(normalized, *CANDIDATE).alias("candidate_hypothesis"),
+    )
+    return compare.score_both(docs, "strict", shared=["reference", "subset"])
 
 
 _BOTH = f"""

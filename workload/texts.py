@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from scribeframe.functions import text
 from workload.registry import (
     NORMALIZED_SQL,
-    documents,
     query,
     squeeze_sql,
     strip_sql,
@@ -21,7 +20,7 @@ def _normalizer(profile: str):
         f"SELECT doc_id, {NORMALIZED_SQL[profile]('text')} AS normalized FROM documents",
     )
     def run(spark, sf_dir):
-        docs = documents(spark, sf_dir, "text")
+        docs = table(spark, sf_dir, "documents")
         return docs.select("doc_id", text.PROFILES[profile](F.col("text")).alias("normalized"))
 
 
@@ -44,7 +43,7 @@ def strip_markup(spark, sf_dir):
 )
 def strip_text(spark, sf_dir):
     stripped = text.strip(F.col("text"))
-    docs = documents(spark, sf_dir, "text")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", stripped.alias("text")).withColumn(
         "chars", F.length("text").cast("bigint")
     )
