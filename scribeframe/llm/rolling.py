@@ -46,17 +46,19 @@ def kgram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return out[0] if len(out) == 1 else np.concatenate(out)
 
 
-def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions that hold the minimum of some window, the rightmost of ties, ascending.
+def window_runs(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that hold the minimum of some window, the rightmost of ties, ascending,
+    and for each the first window that it is the minimum of.
 
-    The order compares the upper 40 bits of the hashes. Fewer hashes than a
-    window count as one window.
+    Windows of one minimum are consecutive and end where the next minimum's
+    begin. The order compares the upper 40 bits of the hashes. Fewer hashes
+    than a window count as one window.
     """
     n = len(hashes)
     if n == 0:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     window = min(window, n)
-    found = []
+    found, firsts = [], []
     for at in range(0, n - window + 1, BLOCK):
         part = hashes[at : at + BLOCK + window - 1]
         spots = np.arange(len(part), dtype=np.uint64)
@@ -68,6 +70,16 @@ def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
         if width < window:
             count = len(part) - window + 1
             least = np.minimum(least[:count], least[window - width :][:count])
-        chosen = least[np.concatenate([[True], least[1:] != least[:-1]])]
-        found.append(at + (_POSITIONS - (chosen & np.uint64(_POSITIONS)).astype(np.int64)))
-    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        found.append(at + (_POSITIONS - (least[first] & np.uint64(_POSITIONS)).astype(np.int64)))
+        firsts.append(at + first)
+    if len(found) == 1:
+        return found[0], firsts[0]
+    # A run over a block's edge was found twice.
+    positions, at = np.unique(np.concatenate(found), return_index=True)
+    return positions, np.concatenate(firsts)[at]
+
+
+def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The positions of ``window_runs``."""
+    return window_runs(hashes, window)[0]

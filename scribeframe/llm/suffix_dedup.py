@@ -1,19 +1,21 @@
 """Exact removal of repeated byte strings by suffix order and previous factors.
 
-A string of ``LENGTH`` bytes that occurs twice holds the same anchor twice: the
-least hashed ``ANCHOR``-gram of its window. So documents are first reduced to
-anchors, some one in seventy positions, and only anchors that recur go on. An
-anchor's context is all text that a string around it can cover. Contexts that
-recur whole are repeated whole; what is left, one context of each kind around
-every anchor that has several kinds, is sorted into suffix order, truncated at
-``LENGTH`` bytes. In a run of the order whose neighbours share ``LENGTH``
-bytes, the previous and the next smaller text position of a suffix give its
-longest previous factor: one of at least ``LENGTH`` exists unless the suffix is
-the first of its run in the text. Mirrored, larger positions give later copies.
+Every string of ``LENGTH`` bytes has one anchor, its least hashed
+``ANCHOR``-gram, the rightmost of ties; equal strings have equal anchors. So
+documents are first reduced to anchors, some one in seventy positions, each
+with the strings it is the anchor of, and only anchors that recur go on. The
+bytes under an anchor's strings are its context. Contexts that recur whole are
+repeated whole; what is left, one context of each kind around every anchor that
+has several kinds, is sorted into suffix order, truncated at ``LENGTH`` bytes.
+In a run of the order whose neighbours share ``LENGTH`` bytes, the previous and
+the next smaller text position of a suffix give its longest previous factor:
+one of at least ``LENGTH`` exists unless the suffix is the first of its run in
+the text. Mirrored, larger positions give later copies.
 
 Suffixes are sorted in chunks of whole anchor groups. The few groups with more
-kinds of context than a task should hold are decided by counting the hashes of
-their strings instead, which spreads any group over all tasks.
+kinds of context than a task should hold are decided by counting hashes
+instead, of blocks of neighbouring strings first and of single strings where
+blocks differ, which spreads any group over all tasks.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribeframe.llm.rolling import kgram_hashes, window_minima
+from scribeframe.llm.rolling import kgram_hashes, window_runs
 from scribeframe.session import release, stage
 
 LENGTH = 200
@@ -36,13 +38,10 @@ MOST_KINDS = 2048
 #: Bytes of context that are suffix-sorted together.
 CHUNK_BYTES = 1 << 20
 
-FIRST, NONE = "first", "none"
-
-
-def _reach(length: int) -> int:
-    """Bytes before an anchor that a string around it can cover."""
-    return length - ANCHOR
+#: Neighbouring strings that are counted together in such groups.
+BLOCK = 16
 
+FIRST, NONE = "first", "none"
 
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """Rows with the hash of their text beside the id: together they name a document."""
@@ -51,44 +50,54 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``pos``, ``anchor`` and ``context`` hashes of every document."""
+    """A row per anchor: its document, the bytes under its strings, hashes of both.
+
+    ``doc_id``, ``text_hash``, ``start`` and ``end`` of the context, ``left``
+    (its bytes before the anchor), ``anchor`` and ``context`` hashes.
+    """
     import xxhash
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    back, window = _reach(length), length - ANCHOR + 1
+    window = length - ANCHOR + 1
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches):
         for batch in batches:
-            rows, positions, anchors, contexts = [], [], [], []
+            rows, starts, ends, lefts, anchors, contexts = [], [], [], [], [], []
             for k, value in enumerate(batch.column(2)):
                 raw = value.as_py().encode()
                 if len(raw) < length:
                     continue
                 hashes = kgram_hashes(np.frombuffer(raw, np.uint8), ANCHOR)
-                found = window_minima(hashes, window)
+                found, start = window_runs(hashes, window)
+                end = np.append(start[1:], len(raw) - length + 1) + length - 1
+                left = found - start
                 rows.append(np.full(len(found), k))
-                positions.append(found)
+                starts.append(start)
+                ends.append(end)
+                lefts.append(left)
                 anchors.append(hashes[found])
                 # The seed tells how much of the context stands before the anchor.
-                contexts += [
-                    xxhash.xxh3_64_intdigest(raw[max(0, p - back) : p + length], min(p, back))
-                    for p in found.tolist()
-                ]
+                spans = zip(start.tolist(), end.tolist(), left.tolist(), strict=True)
+                contexts += [digest(raw[a:b], n) for a, b, n in spans]
             if not rows:
                 continue
             own = batch.select(["doc_id", "text_hash"]).take(pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays(
                 [
                     *own.columns,
-                    pa.array(np.concatenate(positions)),
+                    *(pa.array(np.concatenate(x)) for x in (starts, ends)),
+                    pa.array(np.concatenate(lefts).astype(np.int32)),
                     pa.array(np.concatenate(anchors).view(np.int64)),
                     pa.array(np.array(contexts, np.uint64).view(np.int64)),
                 ],
-                ["doc_id", "text_hash", "pos", "anchor", "context"],
+                ["doc_id", "text_hash", "start", "end", "left", "anchor", "context"],
             )
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(
-        run, f"doc_id {kind}, text_hash bigint, pos bigint, anchor bigint, context bigint"
+        run,
+        f"doc_id {kind}, text_hash bigint, start bigint, end bigint, left int, "
+        "anchor bigint, context bigint",
     )
 
 
@@ -96,67 +105,86 @@ def _same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes around the wanted anchors: ``anchor``, document, ``start``, ``alone``, ``bytes``."""
+CONTEXT = ["anchor", "doc_id", "text_hash", "start", "left", "alone", "bytes"]
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted contexts with their bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     per_doc = wanted.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("anchor", "pos", "alone")).alias("wanted")
+        F.collect_list(F.struct("anchor", "start", "end", "left", "alone")).alias("wanted")
     )
     joined = docs.join(per_doc, _same_document(docs, per_doc)).select(
         docs["doc_id"], docs["text_hash"], "text", "wanted"
     )
-    # Rows that share id and text would give the same contexts again.
-    names = ["anchor", "doc_id", "text_hash", "start", "alone", "bytes"]
-    back = _reach(length)
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc, text_hash, text, anchors in zip(*batch.columns, strict=True):
                 raw = text.as_py().encode()
+                own = doc.as_py(), text_hash.as_py()
                 for a in anchors.as_py():
-                    start = max(0, a["pos"] - back)
                     rows.append(
-                        (a["anchor"], doc.as_py(), text_hash.as_py(), start, a["alone"], raw[start : a["pos"] + length])
+                        (a["anchor"], *own, a["start"], a["left"], a["alone"], raw[a["start"] : a["end"]])
                     )
             if rows:
-                types = [pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                types = [pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], CONTEXT
                 )
 
     return joined.mapInArrow(
-        run, f"anchor bigint, doc_id {kind}, text_hash bigint, start bigint, alone boolean, bytes binary"
+        run,
+        f"anchor bigint, doc_id {kind}, text_hash bigint, start bigint, left int, "
+        "alone boolean, bytes binary",
     )
 
 
 def suffix_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of at least ``length`` bytes in suffix order, truncated there.
+    """The suffixes that share their first ``length`` bytes with another, in suffix order.
 
     Returns, in that order, the text of each suffix, its offset in the text,
-    and the number of its run: suffixes of a run share their first ``length``
-    bytes. Ranks of eight bytes are doubled until they cover ``length``.
+    and the number of its run: suffixes of a run share ``length`` bytes. Ranks
+    of eight bytes are doubled until they cover ``length``; a suffix whose rank
+    is its own at some length leaves the sort, as no longer prefix can recur.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    whole = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    at = np.arange(len(whole))
+    bounds = np.cumsum(sizes)
+    joined = b"".join(texts)
+    ends = np.repeat(bounds, sizes)
+    at = np.arange(len(joined))
     covered = min(8, 1 << (length.bit_length() - 1))
-    valid = at[at + covered <= ends]
-    key = np.zeros(len(valid), np.uint64)
-    for k in range(covered):
-        key = key << np.uint64(8) | whole[valid + k]
-    rank = np.zeros(len(whole), np.int64)
-    rank[valid] = np.unique(key, return_inverse=True)[1]
+    left = at[at + covered <= ends]
+    key = np.zeros(len(left), np.uint64)
+    whole = np.frombuffer(joined, np.uint8)
+    if covered == 8 and len(joined) >= 8:
+        every = np.ndarray(len(joined) - 7, ">u8", joined, 0, 1)
+        key = every[left].astype(np.uint64)
+    else:
+        for k in range(covered):
+            key = key << np.uint64(8) | whole[left + k]
+    rank = np.zeros(len(joined), np.int64)
+    recurs = np.zeros(len(joined), bool)
+
+    def settle(positions: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        _, ranks, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        recurs[:] = False
+        shared = counts[ranks] > 1
+        rank[positions] = ranks
+        recurs[positions[shared]] = True
+        return positions[shared]
+
+    left = settle(left, key)
     while covered < length:
         step = min(covered, length - covered)
-        valid = at[at + covered + step <= ends]
-        pair = rank[valid] * (len(whole) + 1) + rank[valid + step]
-        rank[valid] = np.unique(pair, return_inverse=True)[1]
+        left = left[left + covered + step <= ends[left]]
+        left = left[recurs[left + step]]
+        left = settle(left, rank[left] * (len(joined) + 1) + rank[left + step])
         covered += step
-    order = valid[np.argsort(rank[valid], kind="stable")]
-    text = np.searchsorted(np.cumsum(sizes), order, "right")
-    return text, order - (np.cumsum(sizes) - sizes)[text], rank[order]
+    order = left[np.argsort(rank[left], kind="stable")]
+    text = np.searchsorted(bounds, order, "right")
+    return text, order - (bounds - sizes)[text], rank[order]
 
 
 def copied(places: np.ndarray, runs: np.ndarray, keep: str) -> np.ndarray:
@@ -190,11 +218,11 @@ def _sorted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
 
     def chunk_spans(rows: list) -> pa.RecordBatch | None:
         documents = {d: k for k, d in enumerate(sorted({r[1:3] for r in rows}, key=lambda d: (d[0] is not None, d)))}
-        text, offset, runs = suffix_runs([r[5] for r in rows], length)
+        text, offset, runs = suffix_runs([r[6] for r in rows], length)
         base = np.array([(documents[r[1:3]] << 40) + r[3] for r in rows], np.int64)
         found = copied(base[text] + offset, runs, keep)
         if keep == NONE:  # contexts that recur whole are marked already
-            found &= np.array([r[4] for r in rows], bool)[text]
+            found &= np.array([r[5] for r in rows], bool)[text]
         text, offset = text[found], offset[found]
         order = np.lexsort((offset, text))
         text, offset = text[order], offset[order]
@@ -226,7 +254,7 @@ def _sorted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
                         yield found
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[5])
+                held += len(row[6])
                 last = row[0]
         if rows:
             found = chunk_spans(rows)
@@ -240,90 +268,149 @@ def _sorted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
     )
 
 
-def _counted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
-    """Spans to remove around anchors with too many kinds of context: strings counted by hash."""
+def _blocks(contexts: DataFrame, length: int) -> DataFrame:
+    """Contexts as blocks of up to ``BLOCK`` neighbouring strings, aligned to the anchor.
+
+    ``core`` is the hash of the bytes that all strings of a block share and
+    ``block`` that of all its bytes; ``strings`` are the hashes of the strings.
+    """
+    import xxhash
+
     kind = contexts.schema["doc_id"].dataType.simpleString()
+    digest = xxhash.xxh3_64_intdigest
+    names = ["anchor", "part", "core", "block", "doc_id", "text_hash", "start", "alone", "strings"]
+
+    def signed(value: int) -> int:
+        return value - (1 << 64) if value >> 63 else value
 
     def run(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                raw = batch.column(5)[row].as_py()
-                hashes = kgram_hashes(np.frombuffer(raw, np.uint8), length)
-                own = batch.slice(row, 1).select(["anchor", "doc_id", "text_hash", "alone"])
-                own = own.take(pa.array(np.zeros(len(hashes), np.int64)))
-                at = batch.column(3)[row].as_py() + np.arange(len(hashes))
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                anchor, doc, text_hash, start, left, alone, raw = row
+                hashes = kgram_hashes(np.frombuffer(raw, np.uint8), length).view(np.int64)
+                first = -left
+                while first < len(hashes) - left:
+                    part = first // BLOCK
+                    last = min((part + 1) * BLOCK, len(hashes) - left)
+                    a, b = first + left, last + left
+                    core = raw[(part + 1) * BLOCK - 1 + left : part * BLOCK + length + left]
+                    block = raw[a : b - 1 + length]
+                    rows.append(
+                        (anchor, part, signed(digest(core)), signed(digest(block, a - part * BLOCK - left)),
+                         doc, text_hash, start + a, alone, hashes[a:b])
+                    )
+                    first = last
+            if rows:
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), batch.column(1).type]
+                types += [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(at), pa.array(hashes.view(np.int64))],
-                    ["anchor", "doc_id", "text_hash", "alone", "start", "string"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names
                 )
 
-    strings = contexts.mapInArrow(
+    return contexts.mapInArrow(
         run,
-        f"anchor bigint, doc_id {kind}, text_hash bigint, alone boolean, start bigint, string bigint",
+        f"anchor bigint, part int, core bigint, block bigint, doc_id {kind}, text_hash bigint, "
+        "start bigint, alone boolean, strings array<bigint>",
     )
+
+
+def _counted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
+    """Spans to remove around anchors with too many kinds of context, by counting hashes."""
+    blocks = stage(_blocks(contexts, length), "blocks")
     place = F.struct("doc_id", "text_hash", "start")
+    group = ["anchor", "part", "core"]
+    kinds = blocks.groupBy(*group, "block").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "alone", "strings")).alias("first")
+    )
+    kinds = stage(kinds, "block-kinds")
+    again = kinds.where("n > 1").select(*group, "block", "first.doc_id", "first.text_hash", "first.start")
+    again = again.select(*group, "block", F.struct("doc_id", "text_hash", "start").alias("first"))
+    copies = blocks.join(again, [*group, "block"])
+    copies = copies.where("alone") if keep == NONE else copies.where(place > F.col("first"))
+    whole = copies.select(
+        "doc_id", "text_hash", "start", (F.col("start") + F.size("strings") - 1 + length).alias("end")
+    )
+    several = kinds.groupBy(*group).count().where("count > 1").select(*group)
+    open_kinds = kinds.join(several, group, "left_semi")
+    strings = open_kinds.select(
+        "anchor",
+        "first.doc_id",
+        "first.text_hash",
+        (F.col("first.alone") & (F.col("n") == 1)).alias("alone"),
+        "first.start",
+        F.posexplode("first.strings").alias("k", "string"),
+    ).withColumn("start", F.col("start") + F.col("k"))
     counted = strings.groupBy("anchor", "string").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = counted.where("first < last")
-    found = strings.join(repeated, ["anchor", "string"])
+    found = strings.join(counted.where("first < last"), ["anchor", "string"])
     found = found.where("alone") if keep == NONE else found.where(place > F.col("first"))
-    return found.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end"))
+    return whole.unionByName(
+        found.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end"))
+    )
 
 
 def repeated_spans(
     keyed: DataFrame, length: int = LENGTH, keep: str = FIRST, most_kinds: int = MOST_KINDS
 ) -> DataFrame:
     """Byte spans to remove: ``doc_id``, ``text_hash``, ``start``, ``end``; they may overlap."""
-    back = _reach(length)
     anchors = stage(_anchors(keyed, length), "anchors")
     recurring = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
     shared = stage(anchors.join(recurring, "anchor", "left_semi"), "shared-anchors")
     release(anchors)
-    place = F.struct("doc_id", "text_hash", "pos")
+    place = F.struct("doc_id", "text_hash", "start")
     kinds = stage(
-        shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("first")),
+        shared.groupBy("anchor", "context").agg(
+            F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "start", "end", "left")).alias("first")
+        ),
         "contexts",
     )
-    whole = kinds.where("n > 1").select("anchor", "context", "first")
+    whole = kinds.where("n > 1").select("anchor", "context", "first.doc_id", "first.text_hash", "first.start")
+    whole = whole.select("anchor", "context", F.struct("doc_id", "text_hash", "start").alias("first"))
     copies = shared.join(whole, ["anchor", "context"])
     if keep == FIRST:
         copies = copies.where(place > F.col("first"))
-    covered = copies.select(
-        "doc_id",
-        "text_hash",
-        F.greatest(F.col("pos") - back, F.lit(0)).alias("start"),
-        (F.col("pos") + length).alias("end"),
-    )
+    covered = copies.select("doc_id", "text_hash", "start", "end")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     several = several.where(F.col("kinds") > 1)
     if keep == NONE:  # kinds that recur are marked already; they only serve as copies
         several = several.where("least = 1")
-    wanted = kinds.join(several, "anchor").select(
-        "anchor", "first.doc_id", "first.text_hash", "first.pos", (F.col("n") == 1).alias("alone")
-    )
-    contexts = stage(_contexts(keyed, wanted, length), "context-bytes")
+    wanted = kinds.join(several, "anchor").select("anchor", "first.*", (F.col("n") == 1).alias("alone"))
+    contexts = stage(_contexts(keyed, wanted), "context-bytes")
     busy = several.where(F.col("kinds") > most_kinds).select("anchor")
     found = _sorted_spans(contexts.join(busy, "anchor", "left_anti"), length, keep)
     counted = _counted_spans(contexts.join(busy, "anchor", "left_semi"), length, keep)
     return covered.unionByName(found).unionByName(counted)
 
 
-def _union(spans: list, size: int) -> list[tuple[int, int]]:
-    """Maximal runs of a document's spans."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((s["start"], min(s["end"], size)) for s in spans):
-        if out and start <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], end)
+def _union(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of a document's spans, cut at its size."""
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(np.minimum(ends[order], size))
+    first = np.concatenate([[True], starts[1:] > ends[:-1]])
+    return list(zip(starts[first].tolist(), ends[np.append(first[1:], True)].tolist(), strict=True))
+
+
+def _runs(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[list[tuple[int, int]]]:
+    """The runs to remove from each text of a batch with its ``starts`` and ``ends``."""
+    columns = [batch.column(batch.schema.get_field_index(name)) for name in ("starts", "ends")]
+    for raw, starts, ends in zip(texts, *columns, strict=True):
+        if starts.is_valid:
+            yield _union(*(x.values.to_numpy() for x in (starts, ends)), len(raw))
         else:
-            out.append((start, end))
-    return out
+            yield []
 
 
 def _with_spans(docs: DataFrame, length: int, keep: str, most_kinds: int, *columns: str) -> DataFrame:
     keyed = _keyed(docs, *columns)
     spans = repeated_spans(_keyed(docs), length, keep, most_kinds)
-    per_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # Both lists are filled row by row, so they stay side by side.
+    per_doc = spans.groupBy("doc_id", "text_hash").agg(
+        F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")
+    )
     return keyed.join(per_doc, _same_document(keyed, per_doc), "left").select(
-        *[keyed[c] for c in ("doc_id", "text", *columns)], "spans"
+        *[keyed[c] for c in ("doc_id", "text", *columns)], "starts", "ends"
     )
 
 
@@ -346,9 +433,8 @@ def removal_digests(
     def run(batches):
         for batch in batches:
             rows = []
-            for value, spans in zip(batch.column(1), batch.column(2), strict=True):
-                raw = value.as_py().encode()
-                gone = _union(spans.as_py() or [], len(raw))
+            texts = [value.as_py().encode() for value in batch.column(1)]
+            for raw, gone in zip(texts, _runs(batch, texts), strict=True):
                 kept, at = hashlib.sha256(), 0
                 for start, end in gone:
                     kept.update(raw[at:start])
@@ -382,10 +468,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = FIRST, mos
     def run(batches):
         for batch in batches:
             texts = []
-            for value, spans in zip(batch.column(1), batch.column(3), strict=True):
-                raw = value.as_py().encode()
+            given = [value.as_py().encode() for value in batch.column(1)]
+            for raw, gone in zip(given, _runs(batch, given), strict=True):
                 out, at = [], 0
-                for start, end in _union(spans.as_py() or [], len(raw)):
+                for start, end in gone:
                     while start < end and raw[start] & 0xC0 == 0x80:
                         start += 1
                     while end > start and end < len(raw) and raw[end] & 0xC0 == 0x80:
