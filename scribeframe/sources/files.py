@@ -1,8 +1,8 @@
 """File-tree scans.
 
 Spark lists the folders and gives each task its share of the files. Names that
-start with ``.`` or ``_`` are never listed; ``unlisted_files`` names them, and
-``scan_benchmark`` puts them among its warnings. Keys come from the path: ``stem`` is
+start with ``.`` or ``_`` and empty files are never listed; ``unlisted_files``
+names them, and ``scan_benchmark`` puts them among its warnings. Keys come from the path: ``stem`` is
 the file name without its suffix, ``subset`` the folder two levels up.
 """
 
@@ -55,8 +55,8 @@ def unlisted_files(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder that Spark's file sources pass over."""
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [entry.getPath().getName() for entry in system.listStatus(target)]
-    return sorted(n for n in names if n.startswith((".", "_")) and not n.endswith(".crc"))
+    found = [(e.getPath().getName(), e.isFile() and e.getLen() == 0) for e in system.listStatus(target)]
+    return sorted(n for n, empty in found if (empty or n.startswith((".", "_"))) and not n.endswith(".crc"))
 
 
 def with_content(files: DataFrame, path: str = "path") -> DataFrame:
@@ -68,12 +68,16 @@ def with_content(files: DataFrame, path: str = "path") -> DataFrame:
     schema = StructType([*files.schema.fields, StructField("content", BinaryType())])
 
     def read(batches):
+        from urllib.parse import quote
+
         from pyarrow import fs
 
         for batch in batches:
             contents = []
             for name in batch[path]:
-                system, place = fs.FileSystem.from_uri(name if ":" in name else f"file://{name}")
+                address = quote(name, safe="/:@+=,")
+                address = address if ":" in address.partition("/")[0] else f"file://{address}"
+                system, place = fs.FileSystem.from_uri(address)
                 with system.open_input_stream(place) as stream:
                     contents.append(stream.read())
             yield batch.assign(content=contents)
