@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are compared window by window: one trained on
-ordinary text, and one that holds the same content and, nearest to the window,
-content trained on toxic text. A window is toxic by as many bytes as the toxic
+ordinary text, and one that holds, before the same content at the same
+distances, content trained on toxic text. A window is toxic by as many bytes as the toxic
 dictionary saves. What the toxic part learns from is the text of toxic
 documents that ordinary text does not explain: words with a character n-gram
 that no ordinary training document has. The gains of a document's windows give
@@ -12,7 +12,7 @@ true share of toxic ones, calibrates them to a probability.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 
 WINDOW_BYTES = 64
 BASE_BYTES = 8192
-TOXIC_BYTES = 2048
+TOXIC_BYTES = 1024
+#: Bytes that the trainer picks at a time for the ordinary and the toxic content.
+BASE_SEGMENT, TOXIC_SEGMENT = 64, 20
+_HEADER_BYTES = 200
 LEVEL = 9
 GRAM = 4
 #: Labelled documents collected for training, per class, and their length at most.
@@ -48,13 +51,15 @@ def _grams(word: str) -> set[str]:
     return {word[i : i + GRAM] for i in range(max(1, len(word) - GRAM + 1))}
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a trained dictionary: its last ``size`` bytes, without the header."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL, k=64, d=6).as_bytes()
+        held = zstandard.train_dictionary(size + _HEADER_BYTES, samples, level=LEVEL, k=segment, d=6)
     except zstandard.ZstdError:  # too little text for the trainer
         return b"".join(samples)[-size:]
+    return held.as_bytes()[-size:]
 
 
 def _compressor(content: bytes):
@@ -75,18 +80,19 @@ def _compressor(content: bytes):
 
 def _numbers(gains: np.ndarray) -> list[float]:
     """What a document's window gains say about it."""
-    most, mean, total = gains.max(), gains.mean(), max(gains.sum(), 0)
+    ranked = np.sort(gains)[::-1]
+    most, mean = ranked[0], ranked.mean()
     return [
         most,
+        ranked[:2].mean(),
         mean,
-        (gains >= 2).mean(),
-        (gains >= 3).mean(),
-        np.log1p(total),
-        np.log1p((gains >= 2).sum()),
-        float(most >= 5),
+        *[(gains >= n).mean() for n in (2, 3, 4)],
+        *[np.log1p((gains >= n).sum()) for n in (3, 5)],
+        *[float(most >= n) for n in (4, 6)],
         np.log(len(gains)),
         most * most,
         mean * mean,
+        np.log1p(max(gains.sum(), 0)),
     ]
 
 
@@ -96,9 +102,9 @@ class ToxicityModel:
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(10))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(10))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(11))
+    centre: np.ndarray | None = None
+    scale: np.ndarray | None = None
+    weights: np.ndarray | None = None
     constant: float | None = None
 
     def open(self) -> ToxicityScorer:
@@ -139,11 +145,10 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     novel = [" ".join(words).encode() for words in novel if words]
     # Up to some twelve windows, spread over each whole text.
     spread = [w for v in map(windows, ordinary) for w in v[:: max(1, len(v) // 12)]]
-    base = _trained(spread, BASE_BYTES)
-    extra = _trained(
-        [n[i : i + WINDOW_BYTES] for n in novel for i in range(0, len(n), WINDOW_BYTES)], TOXIC_BYTES
-    )
-    return ToxicityModel(ordinary=base, toxic=base + extra)
+    base = _trained(spread, BASE_BYTES, BASE_SEGMENT)
+    pieces = [n[i : i + WINDOW_BYTES] for n in novel for i in range(0, len(n), WINDOW_BYTES)]
+    extra = _trained(pieces, TOXIC_BYTES, TOXIC_SEGMENT)
+    return ToxicityModel(ordinary=base, toxic=extra + base)
 
 
 def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> ToxicityModel:
