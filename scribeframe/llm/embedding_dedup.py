@@ -293,7 +293,9 @@ def near_duplicate_vectors(
         .withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n") - 1)
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_vector = rooted.select("raw", "n_links", "root").join(least, "root").select("raw", "n_links", "component_id")
+    by_vector = rooted.select("raw", "n_links", "root").join(least, "root")
+    # Staged, so that the join beside it can split a vector that very many rows share.
+    by_vector = stage(by_vector.select("raw", "n_links", "component_id"), "by-vector")
     return rows.join(by_vector, "raw", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),

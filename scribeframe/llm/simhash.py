@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(prints)).withColumnRenamed("node", "fp")
     rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    # Staged, so that the join beside it can split a fingerprint that very many rows share.
+    by_print = stage(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "by-print")
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 

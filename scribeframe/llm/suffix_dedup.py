@@ -331,7 +331,7 @@ def _counted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
     whole = copies.select(
         "doc_id", "text_hash", "start", (F.col("start") + F.size("strings") - 1 + length).alias("end")
     )
-    several = kinds.groupBy(*group).count().where("count > 1").select(*group)
+    several = stage(kinds.groupBy(*group).count().where("count > 1").select(*group), "several-blocks")
     open_kinds = kinds.join(several, group, "left_semi")
     strings = open_kinds.select(
         "anchor",
@@ -342,7 +342,8 @@ def _counted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
         F.posexplode("first.strings").alias("k", "string"),
     ).withColumn("start", F.col("start") + F.col("k"))
     counted = strings.groupBy("anchor", "string").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    found = strings.join(counted.where("first < last"), ["anchor", "string"])
+    repeated = stage(counted.where("first < last"), "strings")
+    found = strings.join(repeated, ["anchor", "string"])
     found = found.where("alone") if keep == NONE else found.where(place > F.col("first"))
     return whole.unionByName(
         found.select("doc_id", "text_hash", "start", (F.col("start") + length).alias("end"))
@@ -354,7 +355,8 @@ def repeated_spans(
 ) -> DataFrame:
     """Byte spans to remove: ``doc_id``, ``text_hash``, ``start``, ``end``; they may overlap."""
     anchors = stage(_anchors(keyed, length), "anchors")
-    recurring = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    # What a join looks up is staged: beside a plain shuffle, a hot key can be split.
+    recurring = stage(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "recurring")
     shared = stage(anchors.join(recurring, "anchor", "left_semi"), "shared-anchors")
     release(anchors)
     place = F.struct("doc_id", "text_hash", "start")
@@ -374,6 +376,7 @@ def repeated_spans(
     several = several.where(F.col("kinds") > 1)
     if keep == NONE:  # kinds that recur are marked already; they only serve as copies
         several = several.where("least = 1")
+    several = stage(several, "several")
     wanted = kinds.join(several, "anchor").select("anchor", "first.*", (F.col("n") == 1).alias("alone"))
     contexts = stage(_contexts(keyed, wanted), "context-bytes")
     busy = several.where(F.col("kinds") > most_kinds).select("anchor")
