@@ -9,10 +9,13 @@ from scribeframe.llm.suffix_dedup import NONE, removal_digests
 SQL = """
 WITH docs AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (
+  SELECT doc_id, b, substr(x, 2 * b + 1, 910) AS y
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199, 256)) AS b FROM docs WHERE length(x) >= 400)),
 starts AS (
-  SELECT doc_id, x, unnest(range(length(x) // 2 - 199)) AS pos FROM docs WHERE length(x) >= 400),
+  SELECT doc_id, b, y, unnest(range(0, least(256, length(y) // 2 - 199))) AS k FROM blocks),
 strings AS (
-  SELECT doc_id, pos, md5_number(x[2 * pos + 1 : 2 * pos + 400]) AS s FROM starts),
+  SELECT doc_id, b + k AS pos, md5_number(substr(y, 2 * k + 1, 400)) AS s FROM starts),
 repeated AS (
   SELECT doc_id, pos FROM strings
   WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
