@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scribeframe.storage import delete_folder
+
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 _shipped: set[str] = set()
@@ -58,12 +60,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def release(staged: DataFrame) -> None:
     """Delete the files of a staged frame that nothing reads any more."""
-    spark = staged.sparkSession
-    roots = {name.rpartition("/")[0] for name in staged.inputFiles()}
-    for root in roots:
-        if root.startswith(("file:", "hdfs:")) or "://" in root:
-            path = spark._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for folder in {name.rpartition("/")[0] for name in staged.inputFiles()}:
+        delete_folder(staged.sparkSession, folder)
 
 
 def ship_package(spark: SparkSession) -> None:

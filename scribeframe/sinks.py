@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeframe.sources.files import file_facts, path_exists
+from scribeframe.storage import file_facts, path_exists
 
 SCORE_COLUMNS = ("subset", "audio_file", "reference", "hypothesis", "wer", "cer")
 

@@ -26,6 +26,7 @@ from scribeframe.functions.transcripts import (
 )
 from scribeframe.operators.curate import MIN_TEXT_LENGTH, SAMPLING_RATE
 from scribeframe.operators.match import COURSE_AUDIO, TRANSCRIPT_AUDIO, attach_preferred_audio, texts_with_audio
+from scribeframe.storage import matches, path_exists, unlisted_files
 
 # Audio extensions (lower or all upper case), the course folder
 # left out, and the folder names of the trees.
@@ -34,31 +35,6 @@ INCOMPLETE_COURSES = "cours_incomplets"
 AUDIO_FOLDER, REFERENCE_FOLDER, MANUAL_FOLDER = "audio", "refs", "trs_manu"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on whatever file system it names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def file_facts(spark: SparkSession, path: str) -> list[list]:
-    """Name, size and time of change of every file at or below a path, in order of the names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, facts = system.listFiles(target, True), []
-    while found.hasNext():
-        one = found.next()
-        facts.append([one.getPath().toString(), one.getLen(), one.getModificationTime()])
-    return sorted(facts)
-
-
-def unlisted_files(spark: SparkSession, folder: str) -> list[str]:
-    """Names in a folder that Spark's file sources pass over."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [(e.getPath().getName(), e.isFile() and e.getLen() == 0) for e in system.listStatus(target)]
-    return sorted(n for n, empty in found if (empty or n.startswith((".", "_"))) and not n.endswith(".crc"))
-
-
 def with_content(files: DataFrame, path: str = "path") -> DataFrame:
     """Add ``content``, the bytes of each named file, read by the tasks.
 
@@ -250,7 +226,7 @@ def discover_courses(
     is compared with another.
     """
     manual = f"{root}/data/*/{MANUAL_FOLDER}"
-    if not _matches(spark, manual):
+    if not matches(spark, manual):
         return spark.createDataFrame([], "course string, stem string, text string, reason string")
     course = path_segment(F.col("path"), 3)
     whole = (~course.startswith(".")) & (course != INCOMPLETE_COURSES)
@@ -280,7 +256,7 @@ def course_audio(spark: SparkSession, root: str) -> DataFrame:
         (f"{root}/audio/*", 2),
     )
     for rank, (folder, level) in enumerate(places):
-        if not _matches(spark, folder):
+        if not matches(spark, folder):
             continue
         listed = (
             spark.read.format("binaryFile")
@@ -301,12 +277,6 @@ def course_audio(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
-def _matches(spark: SparkSession, pattern: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    return found is not None and len(found) > 0
-
-
 def course_samples(spark: SparkSession, root: str) -> DataFrame:
     """Course transcripts with the audio found in one of three folders, else a ``reason``.
 

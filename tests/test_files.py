@@ -14,6 +14,7 @@ from scribeframe.operators.hooks import evaluate_model, transcribe
 from scribeframe.plans.benchmark import run_benchmark
 from scribeframe.plans.training import prepare_training, training_batches
 from scribeframe.sources import corpus, files
+from scribeframe.storage import unlisted_files
 
 
 def wav(frames=1600, rate=16_000, padding=0):
@@ -55,7 +56,7 @@ def test_scans_of_a_benchmark_tree(spark, tree):
     assert {r.stem: r.reference for r in references.collect()}["a"] == "Bonjour à tous"
     told = {(r.subset, r.warning.split(":")[0]) for r in warnings.collect()}
     assert told == {("accents", "folder not found"), ("meetings", "file not listed")}
-    assert files.unlisted_files(spark, f"{tree}/meetings/audio") == ["_d.wav", "n.txt"]
+    assert unlisted_files(spark, f"{tree}/meetings/audio") == ["_d.wav", "n.txt"]
     assert files.scan_benchmark(spark, str(tree), ["accents"])[0] is None
 
 
