@@ -10,7 +10,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POSITION_BITS = 24
 _POSITIONS = (1 << _POSITION_BITS) - 1
 #: Positions per block, so that a position within a block fits its bits.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 _powers = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
 
@@ -80,6 +80,29 @@ def window_runs(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return positions, np.concatenate(firsts)[at]
 
 
+def sampled(codes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``window_runs`` of the k-gram hashes of a sequence, and the chosen hashes.
+
+    A long sequence goes block by block, so beyond the codes only what was
+    chosen is held at once.
+    """
+    count = len(codes) - k + 1
+    if count <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    window = min(window, count)
+    parts = []
+    for at in range(0, count - window + 1, BLOCK):
+        hashes = kgram_hashes(codes[at : at + BLOCK + window + k - 2], k)
+        positions, firsts = window_runs(hashes, window)
+        parts.append((at + positions, at + firsts, hashes[positions]))
+    if len(parts) == 1:
+        return parts[0]
+    positions, firsts, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # A run over a block's edge was found twice.
+    positions, at = np.unique(positions, return_index=True)
+    return positions, firsts[at], hashes[at]
+
+
 def window_minima(hashes: np.ndarray, window: int) -> np.ndarray:
     """The positions of ``window_runs``."""
     return window_runs(hashes, window)[0]

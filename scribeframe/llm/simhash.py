@@ -16,6 +16,9 @@ forest of the links it finds, never with all pairs of a dense group.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,34 +40,56 @@ WHOLE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Comparisons that are made directly instead of splitting further.
 DIRECT = 1 << 16
 _ROWS = 1 << 14
+PIECE_BYTES = 1 << 20
+_WHITE = re.compile(rb"[ \t-\r]")
 
 
-def simhash(text: str) -> bytes:
-    """The 64-bit fingerprint of a whole text, most significant byte first.
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of about ``PIECE_BYTES`` that end before white space."""
+    start = 0
+    while start < len(raw):
+        found = _WHITE.search(raw, start + PIECE_BYTES)
+        end = found.start() if found else len(raw)
+        yield raw[start:end]
+        start = end
 
-    A-Z are lower-cased, words are runs without ASCII white space, features are
-    all shingles of three words with repeats; fewer words are one feature, and
-    no words give zero.
-    """
+
+def _bit_counts(words: list[bytes], width: int) -> np.ndarray:
+    """How often each bit is set among the hashes of all runs of ``width`` words."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return bytes(8)
+    digest = xxhash.xxh64_digest
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    width = min(WORDS, len(words)) - 1
-    first, last = starts[: len(words) - width].tolist(), ends[width:].tolist()
     counts = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_digest
+    first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     for at in range(0, len(first), _ROWS):
         spans = zip(first[at : at + _ROWS], last[at : at + _ROWS], strict=True)
         hashes = b"".join([digest(joined[s:e], SEED) for s, e in spans])
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > len(first)).tobytes()
+    return counts
+
+
+def simhash(text: str) -> bytes:
+    """The 64-bit fingerprint of a whole text, most significant byte first.
+
+    A-Z are lower-cased, words are runs without ASCII white space, features are
+    all shingles of three words with repeats; fewer words are one feature, and
+    no words give zero. Long texts go piece by piece.
+    """
+    counts, features, tail = np.zeros(64, np.int64), 0, []
+    for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()):
+        words = tail + piece.split()
+        if len(words) >= WORDS:
+            counts += _bit_counts(words, WORDS)
+            features += len(words) - WORDS + 1
+        tail = words[1 - WORDS :]
+    if not features and tail:
+        counts, features = _bit_counts(tail, len(tail)), 1
+    return np.packbits(2 * counts > features).tobytes() if features else bytes(8)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

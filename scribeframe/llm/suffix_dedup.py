@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scribeframe.llm.rolling import kgram_hashes, window_runs
+from scribeframe.llm.rolling import kgram_hashes, sampled
 from scribeframe.session import release, stage
 
 LENGTH = 200
@@ -68,15 +68,14 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 raw = value.as_py().encode()
                 if len(raw) < length:
                     continue
-                hashes = kgram_hashes(np.frombuffer(raw, np.uint8), ANCHOR)
-                found, start = window_runs(hashes, window)
+                found, start, hashes = sampled(np.frombuffer(raw, np.uint8), ANCHOR, window)
                 end = np.append(start[1:], len(raw) - length + 1) + length - 1
                 left = found - start
                 rows.append(np.full(len(found), k))
                 starts.append(start)
                 ends.append(end)
                 lefts.append(left)
-                anchors.append(hashes[found])
+                anchors.append(hashes)
                 # The seed tells how much of the context stands before the anchor.
                 spans = zip(start.tolist(), end.tolist(), left.tolist(), strict=True)
                 contexts += [digest(raw[a:b], n) for a, b, n in spans]

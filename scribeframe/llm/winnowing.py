@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scribeframe.llm.rolling import kgram_hashes, window_minima
+from scribeframe.llm.rolling import sampled
 
 K = 32
 WINDOW = 69
@@ -32,9 +32,8 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     if not len(codes):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    hashes = kgram_hashes(codes, min(k, len(codes)))
-    positions = window_minima(hashes, window)
-    return hashes[positions] >> _HASH_SHIFT, positions
+    positions, _, hashes = sampled(codes, min(k, len(codes)), window)
+    return hashes >> _HASH_SHIFT, positions
 
 
 def fingerprint_text(hashes: np.ndarray) -> str:

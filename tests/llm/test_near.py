@@ -65,7 +65,9 @@ def slow_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_fingerprints():
+@pytest.mark.parametrize("piece", [1 << 20, 50, 1])
+def test_fingerprints(monkeypatch, piece):
+    monkeypatch.setattr(simhash_module, "PIECE_BYTES", piece)
     for _, text in texts():
         text = (text or "")[:20_000]
         assert int.from_bytes(simhash(text), "big") == slow_simhash(text)

@@ -10,7 +10,7 @@ from frames import documents, prose, texts
 from tokenizers import Tokenizer
 
 from scribeframe.llm.packing import cut_sizes, pack
-from scribeframe.llm.rolling import kgram_hashes, window_minima
+from scribeframe.llm.rolling import kgram_hashes, sampled, window_minima, window_runs
 from scribeframe.llm.sentencepiece_codec import (
     CharacterMap,
     Normalizer,
@@ -190,6 +190,10 @@ def test_blocks_change_nothing(monkeypatch):
     monkeypatch.setattr(rolling, "BLOCK", 32)
     assert (kgram_hashes(codes, 6) == whole[0]).all()
     assert window_minima(whole[0], 10).tolist() == whole[1].tolist()
+    positions, firsts, hashes = sampled(codes, 6, 10)
+    assert positions.tolist() == whole[1].tolist() and (hashes == whole[0][positions]).all()
+    monkeypatch.setattr(rolling, "BLOCK", 1 << 20)
+    assert [x.tolist() for x in window_runs(whole[0], 10)] == [positions.tolist(), firsts.tolist()]
 
 
 def test_shared_passages_share_a_hash():
