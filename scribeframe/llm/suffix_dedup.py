@@ -37,12 +37,12 @@ ANCHOR = 64
 MOST_KINDS = 2048
 #: Bytes of context that are suffix-sorted together.
 CHUNK_BYTES = 1 << 20
-
 #: Neighbouring strings that are counted together in such groups.
 BLOCK = 16
 
 FIRST, NONE = "first", "none"
 
+
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """Rows with the hash of their text beside the id: together they name a document."""
     text = F.coalesce("text", F.lit(""))
@@ -352,7 +352,13 @@ def _counted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
 def repeated_spans(
     keyed: DataFrame, length: int = LENGTH, keep: str = FIRST, most_kinds: int = MOST_KINDS
 ) -> DataFrame:
-    """Byte spans to remove: ``doc_id``, ``text_hash``, ``start``, ``end``; they may overlap."""
+    """Byte spans to remove: ``doc_id``, ``text_hash``, ``start``, ``end``; they may overlap.
+
+    Contexts and counted strings are compared by an anchor's and their own
+    64-bit hash, sorted ones byte by byte.
+    """
+    if length < ANCHOR + BLOCK:
+        raise ValueError(f"strings have at least {ANCHOR + BLOCK} bytes")
     anchors = stage(_anchors(keyed, length), "anchors")
     # What a join looks up is staged: beside a plain shuffle, a hot key can be split.
     recurring = stage(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "recurring")
