@@ -28,10 +28,10 @@ for _profile in text.PROFILES:
     _normalizer(_profile)
 
 
-@query(
-    "strip_markup",
-    f"SELECT page_id, {squeeze_sql('regexp_replace(html, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS text FROM pages",
-)
+_BARE_SQL = "regexp_replace(html, '<[^>]+>', '', 'g')"
+
+
+@query("strip_markup", f"SELECT page_id, {squeeze_sql(_BARE_SQL)} AS text FROM pages")
 def strip_markup(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", text.strip_markup(F.col("html")).alias("text"))
