@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scribeframe.llm.arrow_parts import parts
 from scribeframe.llm.tokenizers_io import cut_before_spaces, json_tokenizer, rank_encoding
 from scribeframe.session import stage
 
@@ -136,7 +137,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def cut(batches):
         filler = _Filler(capacity, TaskContext.get().partitionId())
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(token_ids(value.as_py() or ""), np.uint32(0)).astype("<u4")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribeframe.llm.arrow_parts import parts
 from scribeframe.llm.rolling import kgram_hashes, sampled
 from scribeframe.session import release, stage
 
@@ -62,7 +63,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
     digest = xxhash.xxh3_64_intdigest
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows, starts, ends, lefts, anchors, contexts = [], [], [], [], [], []
             for k, value in enumerate(batch.column(2)):
                 raw = value.as_py().encode()
@@ -118,7 +119,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc, text_hash, text, anchors in zip(*batch.columns, strict=True):
                 raw = text.as_py().encode()
@@ -245,7 +246,7 @@ def _sorted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         rows, held, last = [], 0, None
-        for batch in batches:
+        for batch in parts(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held >= CHUNK_BYTES and row[0] != last:
                     found = chunk_spans(rows)
@@ -283,7 +284,7 @@ def _blocks(contexts: DataFrame, length: int) -> DataFrame:
         return value - (1 << 64) if value >> 63 else value
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 anchor, doc, text_hash, start, left, alone, raw = row
@@ -439,7 +440,7 @@ def removal_digests(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             texts = [value.as_py().encode() for value in batch.column(1)]
             for raw, gone in zip(texts, _runs(batch, texts), strict=True):
@@ -474,7 +475,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = FIRST, mos
     schema = joined.select("text").schema
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = []
             given = [value.as_py().encode() for value in batch.column(1)]
             for raw, gone in zip(given, _runs(batch, given), strict=True):

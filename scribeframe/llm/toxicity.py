@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scribeframe.llm.arrow_parts import parts
+
 WINDOW_BYTES = 64
 BASE_BYTES = 8192
 TOXIC_BYTES = 1024
@@ -227,7 +229,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         scorer = model.open()
-        for batch in batches:
+        for batch in parts(batches):
             scores = [scorer(value.as_py() or "") for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -248,7 +250,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         scorer = model.open()
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([scorer(t.as_py() or "") < 0.5 for t in texts], pa.bool_()))
 
