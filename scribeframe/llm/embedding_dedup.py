@@ -1,16 +1,18 @@
 """Near-duplicate vectors by product quantisation over inverted lists.
 
-Coarse centroids cut the unit sphere into lists. A vector lives in its nearest
-list, with its residual coded per subspace, and visits the ``PROBES`` nearest
-lists as a query. There a table lookup per subspace gives an asymmetric
+Coarse centroids cut the unit sphere into lists. Lists whose vectors are close
+to the threshold on average form one region, so a dense group is not cut, however
+many lists it fills; any other list is a region of its own. A vector lives in the
+region of its nearest list, with its residual to that list coded per subspace, and
+visits the ``PROBES`` nearest regions as a query. There a table lookup per subspace gives an asymmetric
 distance to every code; a code is a candidate if its distance, less the stored
 length of its coding error, can reach the threshold, so coding loses no link.
 Candidates are decided by exact cosines in double precision. A pair counts if
-either of its vectors visits the other's list; which of both lists counts it is
+either of its vectors visits the other's region; which of both regions counts it is
 decided from the probes, so no pair is written out to be deduplicated.
 
-Equal vectors are one class with a count. A shard of a list answers with link
-counts per class and a spanning forest, never with pairs; large lists are dealt
+Equal vectors are one class with a count. A shard of a region answers with link
+counts per class and a spanning forest, never with pairs; large regions are dealt
 in blocks of classes, every block of queries against every block of codes.
 """
 
@@ -27,7 +29,7 @@ from scribeframe.llm.components import components, spanning_forest
 from scribeframe.session import stage
 
 THRESHOLD = 0.9
-#: Classes a list is meant to hold, lists at most, lists a vector visits.
+#: Classes a list is meant to hold, lists at most, regions a vector visits.
 LIST_SIZE = 128
 MOST_LISTS = 2048
 PROBES = 16
@@ -35,9 +37,11 @@ PROBES = 16
 SAMPLE = 16_384
 SUBSPACE = 8
 CODEWORDS = 256
-#: Classes of one list that one task compares with as many queries.
+#: Classes of one region that one task compares with as many queries.
 BLOCK = 4096
 _SLACK = 1e-4
+#: Share of candidates from which all cosines of a block are computed at once.
+_DENSE = 1 / 8
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -81,6 +85,32 @@ class Index:
         order = np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable")
         return np.take_along_axis(some, order, 1)
 
+    def regions(self, threshold: float) -> np.ndarray:
+        """The region of each list, named by one of its lists.
+
+        The product of two centroids is the mean cosine between the vectors of
+        their lists. Lists are joined, also by way of others, if it is at most
+        as far below the threshold as the threshold is below one.
+        """
+        count = len(self.centroids)
+        near = self.centroids @ self.centroids.T >= 2 * threshold - 1
+        linked, root = spanning_forest(count, *np.nonzero(near))
+        region = np.arange(count)
+        region[linked] = root
+        return region
+
+    def visits(self, x: np.ndarray, region: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest list of each vector, and the nearest regions, its own first."""
+        names, first = np.unique(np.sort(region), return_index=True)
+        count = min(count, len(names))
+        near = x @ self.centroids.T - (self.centroids * self.centroids).sum(1) / 2
+        home = np.argmax(near, 1)
+        best = np.maximum.reduceat(near[:, np.argsort(region, kind="stable")], first, axis=1)
+        best[np.arange(len(x)), np.searchsorted(names, region[home])] = np.inf
+        some = np.argpartition(-best, count - 1, axis=1)[:, :count]
+        order = np.argsort(-np.take_along_axis(best, some, 1), axis=1, kind="stable")
+        return home, names[np.take_along_axis(some, order, 1)]
+
     def code(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals to the lists' centroids, and the lengths of the coding errors."""
         residual = self.padded(x - self.centroids[lists])
@@ -93,10 +123,14 @@ class Index:
         return codes, np.sqrt((residual * residual).sum(1))
 
     def lookup(self, queries: np.ndarray, centroid: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Approximate dot products of queries with coded vectors of one list, by table lookup."""
+        """Approximate dot products of queries with coded vectors, by table lookup.
+
+        ``centroid`` is that of the one list of all codes, or has a row per code.
+        """
         step = self.codewords.shape[2]
         wide = self.padded(queries)
-        out = np.repeat((queries @ centroid)[:, None], len(codes), 1)
+        out = np.empty((len(queries), len(codes)))
+        out[:] = queries @ np.atleast_2d(centroid).T
         for m, words in enumerate(self.codewords):
             out += (wide[:, m * step : (m + 1) * step] @ words.T)[:, codes[:, m]]
         return out
@@ -139,13 +173,13 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 
 ROUTED = (
-    "list int, visitor boolean, node bigint, n bigint, raw binary, "
+    "region int, visitor boolean, node bigint, n bigint, raw binary, "
     "home int, probes array<int>, code binary, error double"
 )
 
 
-def _route(classes: DataFrame, index: Index, width: int, probes: int) -> DataFrame:
-    """A row per class in its own list, and one per list that it visits."""
+def _route(classes: DataFrame, index: Index, region: np.ndarray, width: int, probes: int) -> DataFrame:
+    """A row per class in its own region, and one per region that it visits."""
     names = [c.split()[0] for c in ROUTED.split(", ")]
     types = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
     types += [pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.float64()]
@@ -155,13 +189,13 @@ def _route(classes: DataFrame, index: Index, width: int, probes: int) -> DataFra
             for at in range(0, batch.num_rows, 2048):
                 node, n, raw = (c.to_pylist() for c in batch.slice(at, 2048).columns)
                 x = _unit(raw, width)
-                near = index.probes(x, probes)
-                codes, errors = index.code(x, near[:, 0])
+                home, near = index.visits(x, region, probes)
+                codes, errors = index.code(x, home)
                 rows = []
-                for k, lists in enumerate(near.tolist()):
-                    own = (node[k], n[k], raw[k], lists[0])
-                    rows.append((lists[0], False, *own, lists, codes[k].tobytes(), float(errors[k])))
-                    rows += [(q, True, *own, None, None, None) for q in lists]
+                for k, visited in enumerate(near.tolist()):
+                    own = (node[k], n[k], raw[k], int(home[k]))
+                    rows.append((visited[0], False, *own, visited, codes[k].tobytes(), float(errors[k])))
+                    rows += [(q, True, *own, None, None, None) for q in visited]
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
@@ -170,7 +204,7 @@ def _route(classes: DataFrame, index: Index, width: int, probes: int) -> DataFra
     return classes.select("node", "n", "raw").mapInArrow(run, ROUTED)
 
 
-def _search(index: Index, width: int, threshold: float):
+def _search(index: Index, region: np.ndarray, width: int, threshold: float):
     """The function that compares the queries and codes of one block pair."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -181,15 +215,18 @@ def _search(index: Index, width: int, threshold: float):
         )
         if not len(codes_of) or not len(queries):
             return empty
-        number = table["list"][0].as_py()
         home = _unit(codes_of["raw"].to_pylist(), width)
         seek = _unit(queries["raw"].to_pylist(), width)
         codes = np.frombuffer(b"".join(codes_of["code"].to_pylist()), np.uint8).reshape(len(home), -1)
         error = codes_of["error"].to_numpy()
         home_node, home_n = codes_of["node"].to_numpy(), codes_of["n"].to_numpy()
         seek_node, seek_n = queries["node"].to_numpy(), queries["n"].to_numpy()
-        seek_list = queries["home"].to_numpy()
-        visited = [frozenset(p) for p in codes_of["probes"].to_pylist()]
+        centroids = index.centroids[codes_of["home"].to_numpy()]
+        names, seek_region = np.unique(region[queries["home"].to_numpy()], return_inverse=True)
+        # Whether the code's own visit counts the pair in the query's region.
+        visited = np.zeros((len(home), len(names)), bool)
+        for k, probes in enumerate(codes_of["probes"].to_pylist()):
+            visited[k] = np.isin(names, probes)
         nodes = np.unique(np.concatenate([home_node, seek_node]))
         links = np.zeros(len(nodes), np.int64)
         home_at, seek_at = np.searchsorted(nodes, home_node), np.searchsorted(nodes, seek_node)
@@ -197,23 +234,22 @@ def _search(index: Index, width: int, threshold: float):
         rows = max(1, (1 << 20) // len(home))
         for at in range(0, len(seek), rows):
             part = slice(at, at + rows)
-            near = index.lookup(seek[part], index.centroids[number], codes)
-            q, h = np.nonzero(near + error >= threshold - _SLACK)
+            hit = index.lookup(seek[part], centroids, codes) + error >= threshold - _SLACK
+            dense = hit.mean() > _DENSE
+            if dense:
+                hit &= seek[part] @ home.T >= threshold
+            q, h = np.nonzero(hit)
             q += at
+            if not dense:
+                linked = np.einsum("ij,ij->i", seek[q], home[h]) >= threshold
+                q, h = q[linked], h[linked]
             other = seek_node[q] != home_node[h]
             q, h = q[other], h[other]
-            for i in range(0, len(q), 1 << 18):
-                qs, hs = q[i : i + (1 << 18)], h[i : i + (1 << 18)]
-                linked = np.einsum("ij,ij->i", seek[qs], home[hs]) >= threshold
-                qs, hs = qs[linked], hs[linked]
-                np.add.at(links, seek_at[qs], home_n[hs])
-                # The code's own visit to the query's list counts the pair there, if there is one.
-                alone = np.fromiter(
-                    (seek_list[a] not in visited[b] for a, b in zip(qs, hs, strict=True)), bool, len(qs)
-                )
-                np.add.at(links, home_at[hs[alone]], seek_n[qs[alone]])
-                found.append((seek_at[qs], home_at[hs]))
-                held += len(qs)
+            np.add.at(links, seek_at[q], home_n[h])
+            alone = ~visited[h, seek_region[q]]
+            np.add.at(links, home_at[h[alone]], seek_n[q[alone]])
+            found.append((seek_at[q], home_at[h]))
+            held += len(q)
             if held > 1 << 20:
                 found = [spanning_forest(len(nodes), *(np.concatenate(x) for x in zip(*found, strict=True)))]
                 held = len(found[0][0])
@@ -259,19 +295,21 @@ def near_duplicate_vectors(
     lists = max(1, min(MOST_LISTS, len(sample) // 8, facts["n"] // LIST_SIZE))
     index = build_index(_unit([bytes(r.raw) for r in sample], width), lists)
 
-    routed = stage(_route(classes, index, width, probes), "routed")
-    # One row per list: how many blocks of codes and of queries it has.
+    region = index.regions(threshold)
+
+    routed = stage(_route(classes, index, region, width, probes), "routed")
+    # One row per region: how many blocks of codes and of queries it has.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / block)).cast("int")
-    sizes = routed.groupBy("list", "visitor").count().withColumn("blocks", blocks)
-    sizes = sizes.groupBy("list").agg(
+    sizes = routed.groupBy("region", "visitor").count().withColumn("blocks", blocks)
+    sizes = sizes.groupBy("region").agg(
         F.max(F.when(~F.col("visitor"), F.col("blocks"))).alias("code_blocks"),
         F.max(F.when(F.col("visitor"), F.col("blocks"))).alias("query_blocks"),
     )
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("visitor"), F.col("query_blocks")).otherwise(F.col("code_blocks")))
     theirs = F.when(F.col("visitor"), F.col("code_blocks")).otherwise(F.col("query_blocks"))
-    # MOST_LISTS rows at most: bounded, so broadcast. Lists without codes need no visit.
+    # MOST_LISTS rows at most: bounded, so broadcast. Regions without codes need no visit.
     dealt = (
-        routed.join(F.broadcast(sizes.where("code_blocks is not null")), "list")
+        routed.join(F.broadcast(sizes.where("code_blocks is not null")), "region")
         .withColumn("mine", mine.cast("int"))
         .withColumn("theirs", F.explode(F.sequence(F.lit(0), theirs - 1)))
         .withColumn("code_block", F.when(F.col("visitor"), F.col("theirs")).otherwise(F.col("mine")))
@@ -279,8 +317,8 @@ def near_duplicate_vectors(
         .select(*routed.columns, "code_block", "query_block")
     )
     found = stage(
-        dealt.groupBy("list", "code_block", "query_block").applyInArrow(
-            _search(index, width, threshold), "node bigint, other bigint, links bigint"
+        dealt.groupBy("region", "code_block", "query_block").applyInArrow(
+            _search(index, region, width, threshold), "node bigint, other bigint, links bigint"
         ),
         "found",
     )

@@ -141,6 +141,24 @@ def test_vectors_against_brute_force(spark):
         assert got[ids[1105]].n_links >= 149
 
 
+def test_a_dense_group_of_distinct_vectors_keeps_its_links(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(64) / 8
+    x = rng.standard_normal((30_000, 64)) / 8
+    x[:10_000] = centre + x[:10_000] * 0.2
+    x = x.astype(np.float32)
+    wide = x.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1)[:, None]
+    close = np.concatenate([(wide[i : i + 2000] @ wide.T >= 0.9).sum(1) for i in range(0, len(x), 2000)]) - 1
+    assert close[:10_000].mean() > 9000
+    got = near_duplicate_vectors(vectors(spark, enumerate(x.tolist()))).select("vec_id", "n_links").collect()
+    found = np.zeros(len(x), int)
+    for r in got:
+        found[r.vec_id] = r.n_links
+    assert (found <= close).all()
+    assert found.sum() >= 0.9 * close.sum()
+
+
 def test_vectors_that_link_with_nothing(spark):
     one = [1.0, 0.0, 0.0]
     rows = [
