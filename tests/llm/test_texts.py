@@ -19,7 +19,7 @@ from scribeframe.llm.sentencepiece_codec import (
     piece_codec,
 )
 from scribeframe.llm.token_counts import TokenCounter, count_tokens
-from scribeframe.llm.winnowing import fingerprint_edits, fingerprints, winnow
+from scribeframe.llm.winnowing import edited_text, fingerprint_edits, fingerprints, likeness, winnow
 
 
 def test_counts_equal_the_library(spark):
@@ -203,6 +203,17 @@ def test_shared_passages_share_a_hash():
     assert set(left.tolist()) & set(right.tolist())
 
 
+def test_edited_short_texts_stay_alike():
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz      é")
+    for n in range(10, 151):
+        text, after = ("".join(rng.choice(letters, 200)) for _ in range(2))
+        own, changed, other = (
+            set(winnow(t)[0].tolist()) for t in (text[:n], edited_text(text[:n], after), after[:n])
+        )
+        assert likeness(own, changed) > max(0.1, likeness(own, other)), n
+
+
 def test_edits_against_brute_force(spark):
     rows = [(i, t) for i, t in texts() if i is not None and i != 14]
     for ranges in (1, 3, 16):
