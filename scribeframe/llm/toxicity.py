@@ -4,14 +4,16 @@ Two zstandard dictionaries are compared window by window: one trained on
 ordinary text, and one that holds, before the same content at the same
 distances, content trained on toxic text. A window is toxic by as many bytes as the toxic
 dictionary saves. What the toxic part learns from is the text of toxic
-documents that ordinary text does not explain: words with a character n-gram
-that no ordinary training document has. The gains of a document's windows give
+documents that ordinary text does not explain: words that are, whole or by a
+character n-gram, far more frequent among toxic documents, by document rates, and
+words with an n-gram that no ordinary training document has. The gains of a document's windows give
 a few numbers, and a logistic fit on other labelled documents, weighted to the
 true share of toxic ones, calibrates them to a probability.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,8 @@ BASE_SEGMENT, TOXIC_SEGMENT = 64, 20
 _HEADER_BYTES = 200
 LEVEL = 9
 GRAM = 4
+#: How many times the ordinary document rate, counted as if ``SLACK`` more had it, a toxic one is.
+RATIO, SLACK = 5, 3
 #: Labelled documents collected for training, per class, and their length at most.
 SAMPLE_TOXIC = 3000
 SAMPLE_ORDINARY = 6000
@@ -53,6 +57,15 @@ def _grams(word: str) -> set[str]:
     return {word[i : i + GRAM] for i in range(max(1, len(word) - GRAM + 1))}
 
 
+def _rates(texts: list[str]) -> Counter:
+    """In how many texts each n-gram and each whole word occurs."""
+    counts: Counter = Counter()
+    for text in texts:
+        words = set(text.lower().split())
+        counts.update(set().union(*map(_grams, words)) | {(w,) for w in words})
+    return counts
+
+
 def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
     """The content of a trained dictionary: its last ``size`` bytes, without the header."""
     import zstandard
@@ -139,11 +152,14 @@ class ToxicityScorer:
 
 
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    known: set[str] = set()
-    for text in ordinary:
-        for word in set(text.lower().split()):
-            known |= _grams(word)
-    novel = [[w for w in t.lower().split() if not _grams(w) <= known] for t in toxic]
+    in_toxic, in_ordinary = _rates(toxic), _rates(ordinary)
+    telling = {
+        f
+        for f, n in in_toxic.items()
+        if n * len(ordinary) >= RATIO * (in_ordinary[f] + SLACK) * len(toxic)
+        or (isinstance(f, str) and f not in in_ordinary)
+    }
+    novel = [[w for w in t.lower().split() if (w,) in telling or not _grams(w).isdisjoint(telling)] for t in toxic]
     novel = [" ".join(words).encode() for words in novel if words]
     # Up to some twelve windows, spread over each whole text.
     spread = [w for v in map(windows, ordinary) for w in v[:: max(1, len(v) // 12)]]

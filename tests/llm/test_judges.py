@@ -102,6 +102,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_insults_in_ordinary_rows_and_wrong_labels():
+    rng = random.Random(4)
+    rows = corpus(1200, 6)
+    learnt, held = rows[:800], rows[800:]
+    marks = {0: [], 1: []}
+    for k, (_, text, toxic) in enumerate(learnt):
+        if not toxic and k % 50 == 1:  # 2 % quote an insult
+            text += " " + rng.choice(INSULTS)
+        marks[1 - toxic if k % 67 == 0 else toxic].append(text)  # 1.5 % are labelled wrongly
+    model = fit(marks[1], marks[0], 0.25)
+    assert all(word.encode()[1:] in model.toxic[:-len(model.ordinary)] for word in INSULTS)
+    scorer = model.open()
+    assert sum((scorer(text) >= 0.5) == toxic for _, text, toxic in held) / len(held) > 0.9
+
+
 def test_labels_of_held_out_rows_are_never_learnt(spark):
     rows = corpus(200, 2)
     docs = documents(spark, [r[:2] for r in rows])
