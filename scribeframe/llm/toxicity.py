@@ -37,6 +37,9 @@ RATIO, SLACK = 5, 3
 SAMPLE_TOXIC = 3000
 SAMPLE_ORDINARY = 6000
 SAMPLE_CHARS = 16_384
+#: Windows of an ordinary text that the ordinary dictionary is trained on, at least; at most all
+#: of them and less than twice as many.
+BASE_WINDOWS = 12
 
 
 def windows(text: str, size: int = WINDOW_BYTES) -> list[bytes]:
@@ -151,7 +154,7 @@ class ToxicityScorer:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+def _dictionaries(toxic: list[str], ordinary: list[str], base_windows: int = BASE_WINDOWS) -> ToxicityModel:
     in_toxic, in_ordinary = _rates(toxic), _rates(ordinary)
     telling = {
         f
@@ -161,29 +164,33 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     }
     novel = [[w for w in t.lower().split() if (w,) in telling or not _grams(w).isdisjoint(telling)] for t in toxic]
     novel = [" ".join(words).encode() for words in novel if words]
-    # Up to some twelve windows, spread over each whole text.
-    spread = [w for v in map(windows, ordinary) for w in v[:: max(1, len(v) // 12)]]
+    spread = [w for v in map(windows, ordinary) for w in v[:: max(1, len(v) // base_windows)]]
     base = _trained(spread, BASE_BYTES, BASE_SEGMENT)
     pieces = [n[i : i + WINDOW_BYTES] for n in novel for i in range(0, len(n), WINDOW_BYTES)]
     extra = _trained(pieces, TOXIC_BYTES, TOXIC_SEGMENT)
     return ToxicityModel(ordinary=base, toxic=extra + base)
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> ToxicityModel:
+def fit(
+    toxic: list[str], ordinary: list[str], toxic_share: float, base_windows: int = BASE_WINDOWS
+) -> ToxicityModel:
     """Train on two lists of whole texts.
 
     Dictionaries from either half score the other half, and the calibration
-    learns from those scores; the dictionaries of the model come from all.
+    learns from those scores; the dictionaries of the model come from all. The
+    ordinary dictionary is trained on every n-th window of each ordinary text,
+    the largest n that leaves ``base_windows`` of them, so that long texts don't
+    outweigh short ones; words, rates and scores are from all windows.
     """
     if len(toxic) < 2 or len(ordinary) < 2:
         return ToxicityModel(constant=float(toxic_share))
     rows, marks = [], []
     for k in (0, 1):
-        scorer = _dictionaries(toxic[k::2], ordinary[k::2]).open()
+        scorer = _dictionaries(toxic[k::2], ordinary[k::2], base_windows).open()
         for mark, texts in ((1.0, toxic[1 - k :: 2]), (0.0, ordinary[1 - k :: 2])):
             rows += [scorer.numbers(t) for t in texts]
             marks += [mark] * len(texts)
-    model = _dictionaries(toxic, ordinary)
+    model = _dictionaries(toxic, ordinary, base_windows)
     x, y = np.array(rows), np.array(marks)
     share = float(np.clip(toxic_share, 1e-3, 1 - 1e-3))
     weight = np.where(y == 1, share / len(toxic), (1 - share) / len(ordinary)) * len(y)
@@ -214,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     The driver collects at most ``SAMPLE_TOXIC`` and ``SAMPLE_ORDINARY`` whole
     texts of at most ``SAMPLE_CHARS`` characters, in order of the hash of their
-    id. Rows labelled both ways count as toxic; null labels and null texts are
+    id; ``fit`` says which windows of them the ordinary dictionary sees. Rows labelled both ways count as toxic; null labels and null texts are
     left out. With fewer than two texts of a class, the model is a constant:
     the toxic share of the labels, or 0 without labels.
     """

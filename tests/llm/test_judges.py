@@ -117,6 +117,21 @@ def test_insults_in_ordinary_rows_and_wrong_labels():
     assert sum((scorer(text) >= 0.5) == toxic for _, text, toxic in held) / len(held) > 0.9
 
 
+def test_windows_that_the_ordinary_dictionary_is_trained_on(monkeypatch):
+    from scribeframe.llm import toxicity
+
+    seen = []
+    given = toxicity._trained
+    monkeypatch.setattr(toxicity, "_trained", lambda *x: seen.append(x) or given(*x))
+    ordinary = [text for _, text, toxic in corpus(40, 7) if not toxic]
+    ordinary.append(" ".join(ordinary))
+    for most, n in ((toxicity.BASE_WINDOWS, None), (10**9, 1)):
+        seen.clear()
+        fit(["you blockhead"] * 4, ordinary, 0.1, base_windows=most)
+        samples = [s for s, size, _ in seen if size == toxicity.BASE_BYTES][-1]
+        assert samples == [w for v in map(windows, ordinary) for w in v[:: n or max(1, len(v) // most)]]
+
+
 def test_labels_of_held_out_rows_are_never_learnt(spark):
     rows = corpus(200, 2)
     docs = documents(spark, [r[:2] for r in rows])
