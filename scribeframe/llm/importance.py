@@ -102,7 +102,7 @@ class Dictionary:
         for block in self.blocks:
             words.update(block.split())
         long_words = {name: word for word, name in self.names.items()}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for word in words:
             spelled = long_words.get(word, word)
             payload = len(spelled) << 32 | zlib.crc32(spelled)
