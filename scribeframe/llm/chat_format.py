@@ -52,14 +52,29 @@ def text_part(text: Column) -> Column:
     )
 
 
-def _visit(part: Column, typed: bool) -> Column:
-    text = escape(F.coalesce(part["text"], F.lit("")))
+def _body(parts: Column, typed: bool) -> Column:
+    """All parts as text. Neighbouring text parts are joined before they are escaped, so
+    no control string can be put together from several of them.
+    """
+    def said(part: Column) -> Column:
+        return F.coalesce(part["text"], F.lit(""))
+
     if not typed:
-        return text
-    shown = F.when(F.lit(False), "")
-    for kind, mark in PLACEHOLDERS.items():
-        shown = shown.when(part["type"] == kind, mark)
-    return shown.otherwise(text)
+        return escape(F.array_join(F.transform(parts, said), ""))
+
+    def visit(seen: Column, part: Column) -> Column:
+        mark = F.when(F.lit(False), "")
+        for kind, shown in PLACEHOLDERS.items():
+            mark = mark.when(part["type"] == kind, shown)
+        return F.struct(
+            F.when(mark.isNull(), seen["done"])
+            .otherwise(F.concat(seen["done"], escape(seen["open"]), mark))
+            .alias("done"),
+            F.when(mark.isNull(), F.concat(seen["open"], said(part))).otherwise("").alias("open"),
+        )
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    return F.aggregate(parts, start, visit, lambda seen: F.concat(seen["done"], escape(seen["open"])))
 
 
 def _tokens(part: Column, costs: TokenCosts) -> Column:
@@ -116,7 +131,7 @@ def format_chats(
     message = [
         F.col("turn"),
         role.alias("role"),
-        F.array_join(F.transform(parts, lambda p: _visit(p, typed)), "").alias("body"),
+        _body(parts, typed).alias("body"),
     ]
     if typed:
         message.append(_attachments(parts, costs).alias("attachments"))
@@ -155,8 +170,8 @@ def read_turns(formatted: Column) -> Column:
     def read(piece: Column) -> Column:
         halves = F.split(piece, r"\[/INST\]", 2)
         return F.struct(
-            unescape(F.substring(halves[0], len(OPEN + HEAD) + 1, 2**31 - 1)).alias("role"),
-            unescape(halves[1]).alias("text"),
+            unescape(F.substring(F.get(halves, F.lit(0)), len(OPEN + HEAD) + 1, 2**31 - 1)).alias("role"),
+            unescape(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("text"),
         )
 
     return F.transform(turns, read)

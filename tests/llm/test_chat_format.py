@@ -89,3 +89,26 @@ def test_no_python_on_the_executors(spark):
     frame = spark.createDataFrame([(1, 0, "user", "x", 1, 2)], TURNS)
     plan = format_chats(frame.withColumn("parts", text_part(F.col("text"))))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_control_strings_cut_over_parts(spark):
+    none = (None, None, None, None, None)
+    image = ("image", None, "a.png", 28, 28, None, None)
+    rows, said = [], {}
+    for control in ("<s>", "</s>", "[INST]", "[/INST]", "[IMG]", "[AUD]", "[DOC]", "<\\s>", "[\\\\/INST]"):
+        for cut in range(len(control) + 1):
+            for between in ([], [("text", None, *none)], [image]):
+                parts = [("text", "a " + control[:cut], *none), *between, ("text", control[cut:] + " b", *none)]
+                said[len(rows)] = "".join("[IMG]" if p[0] == "image" else p[1] or "" for p in parts)
+                rows.append((len(rows), 0, "user", parts))
+    frame = spark.createDataFrame(rows, f"conv_id bigint, turn int, role string, parts {PART_TYPE}")
+    got = (
+        format_chats(frame)
+        .withColumn("turns", read_turns(F.col("formatted")))
+        .withColumn("shown", F.size(F.expr(r"regexp_extract_all(formatted, '\\[(?:IMG|AUD|DOC)\\]', 0)")))
+        .collect()
+    )
+    assert len(got) == len(rows)
+    for row in got:
+        assert [tuple(t) for t in row.turns] == [("user", said[row.conv_id])]
+        assert row.shown == len(row.attachments)
