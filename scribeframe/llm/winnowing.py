@@ -3,8 +3,8 @@
 Every ``k`` consecutive code points get a rolling hash; each window of
 ``window`` hashes gives up its minimum, the rightmost of ties. Two texts that
 share ``window + k - 1`` code points in a row share at least one chosen hash,
-and the kept positions say where. A short text, whose unchanged three quarters
-could miss every chosen hash, gives up all its ``SHORT_K``-grams besides.
+and the kept positions say where. Windows are clipped at the beginning of a text, so
+the first k-gram is always chosen and texts that begin alike share it, however short they are.
 """
 
 from __future__ import annotations
@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 
 from scribeframe.llm.rolling import kgram_hashes, sampled
 
-K = 16
-WINDOW = 20
-#: k-grams of texts under four thirds of ``window + k - 1`` code points.
-SHORT_K = 4
+K = 8
+WINDOW = 10
 _HASH_SHIFT = np.uint64(24)
 _NULL_ID = -(2**63)
 
@@ -30,24 +28,18 @@ _NULL_ID = -(2**63)
 def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Chosen 40-bit hashes and their code point positions, in order of position.
 
-    A text of fewer than four thirds of ``window + k - 1`` code points has all
-    its ``SHORT_K``-grams, and those chosen from windows only if it fills one. A
-    text shorter than ``SHORT_K`` is one k-gram by itself; an empty text has none.
+    A window ends at every k-gram and reaches back to the beginning at most. A text
+    shorter than ``k`` is one k-gram by itself; an empty text has none.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     if not len(codes):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    whole = window + k - 1
-    if len(codes) >= whole:
-        positions, _, hashes = sampled(codes, k, window)
-    else:
-        positions, hashes = np.empty(0, np.int64), np.empty(0, np.uint64)
-    if 3 * len(codes) < 4 * whole:
-        every = kgram_hashes(codes, min(SHORT_K, k, len(codes)))
-        positions = np.concatenate([positions, np.arange(len(every))])
-        order = np.argsort(positions, kind="stable")
-        positions, hashes = positions[order], np.concatenate([hashes, every])[order]
-    return hashes >> _HASH_SHIFT, positions
+    k = min(k, len(codes))
+    positions, _, hashes = sampled(codes, k, window)
+    head = kgram_hashes(codes[: window + k - 2], k)
+    clipped = np.flatnonzero(head >> _HASH_SHIFT == np.minimum.accumulate(head >> _HASH_SHIFT))
+    positions, at = np.unique(np.concatenate([clipped, positions]), return_index=True)
+    return np.concatenate([head[clipped], hashes])[at] >> _HASH_SHIFT, positions
 
 
 def fingerprint_text(hashes: np.ndarray) -> str:

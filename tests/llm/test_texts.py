@@ -214,6 +214,33 @@ def test_edited_short_texts_stay_alike():
         assert likeness(own, changed) > max(0.1, likeness(own, other)), n
 
 
+@pytest.mark.parametrize("following", ["", "..", "0123456789" * 20])
+def test_likeness_has_no_step_at_any_length(following):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz      é")
+    for n in range(11, 151):
+        alike = []
+        for _ in range(5):
+            text = "".join(rng.choice(letters, n))
+            own, changed = (set(winnow(t)[0].tolist()) for t in (text, edited_text(text, following)))
+            alike.append(likeness(own, changed))
+        assert min(alike) > 0 and np.mean(alike) > 0.25, n
+
+
+def test_windows_are_clipped_at_the_beginning():
+    rng = np.random.default_rng(2)
+    for n, k, window in ((300, 4, 6), (9, 8, 10), (30, 8, 10), (5, 8, 10), (40, 3, 1)):
+        text = "".join(rng.choice(list("ab"), n))
+        hashes = kgram_hashes(np.array([ord(c) for c in text], np.uint32), min(k, n)) >> np.uint64(24)
+        want = set()
+        for last in range(len(hashes)):
+            part = hashes[max(0, last - window + 1) : last + 1]
+            want.add(last - int(np.argmin(part[::-1])))
+        got, positions = winnow(text, k, window)
+        assert positions.tolist() == sorted(want)
+        assert got.tolist() == hashes[positions].tolist()
+
+
 def test_edits_against_brute_force(spark):
     rows = [(i, t) for i, t in texts() if i is not None and i != 14]
     for ranges in (1, 3, 16):
