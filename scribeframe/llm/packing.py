@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scribeframe.llm.arrow_parts import parts
 from scribeframe.llm.tokenizers_io import cut_before_spaces, json_tokenizer, rank_encoding
@@ -133,7 +134,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     staged in the shared work folder, so a lost executor can't renumber them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    doc_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def cut(batches):
         filler = _Filler(capacity, TaskContext.get().partitionId())
@@ -147,8 +148,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                     crc = zlib.crc32(ids[start : start + size].tobytes())
                     rows += filler.add([doc, start, size, crc, len(ids)], size)
                     start += size
-            yield _batch(rows, types[kind])
-        yield _batch(filler.rest(), types[kind])
+            yield _batch(rows, doc_type)
+        yield _batch(filler.rest(), doc_type)
 
     pieces = stage(docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, {PIECES}"), "pieces")
     done = pieces.where("sequence_id is not null")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scribeframe.llm.components import components, spanning_forest
-from scribeframe.llm.near_copies import near_copies
+from scribeframe.llm.names import free_name
 from scribeframe.session import stage
 
 WORDS = 3
@@ -291,14 +291,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of one document per group, all their columns unchanged.
 
-    Groups are those of ``near_copies``: five-word shingles, similarity 0.8.
-    The fingerprints of ``near_duplicates`` lie within three bits only for far
-    closer copies. The document with the smallest id of its component stays. ``doc_id``
-    names a document: rows that share one stay or go together, and null ids
+    Groups are the components of ``near_duplicates``; the document with the
+    smallest id of its component stays. ``doc_id`` names a document: rows that share one stay or go together, and null ids
     stay only in a group without any other.
     """
-    found = near_copies(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("kept_id")
-    )
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    found = near_duplicates(docs)
+    name = free_name(docs, "kept_id")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
+    return docs.join(stage(kept.distinct(), "kept"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

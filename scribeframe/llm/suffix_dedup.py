@@ -27,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scribeframe.llm.arrow_parts import parts
+from scribeframe.llm.names import free_name
 from scribeframe.llm.rolling import kgram_hashes, sampled
 from scribeframe.session import release, stage
 
@@ -242,7 +244,7 @@ def _sorted_spans(contexts: DataFrame, length: int, keep: str) -> DataFrame:
             [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names
         )
 
-    doc_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    doc_type = to_arrow_type(contexts.schema["doc_id"].dataType)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         rows, held, last = [], 0, None
@@ -412,8 +414,19 @@ def _runs(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[list[tuple[int,
 
 
 def _with_spans(docs: DataFrame, length: int, keep: str, most_kinds: int, *columns: str) -> DataFrame:
-    keyed = _keyed(docs, *columns)
-    spans = repeated_spans(_keyed(docs), length, keep, most_kinds)
+    keyed, single = _keyed(docs, *columns), _keyed(docs)
+    repeated = single.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    repeated = stage(repeated, "repeated-rows")
+    if repeated.isEmpty():
+        spans = repeated_spans(single, length, keep, most_kinds)
+    else:  # a document that is there several times takes part once
+        same = _same_document(single, repeated)
+        once = single.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        spans = repeated_spans(single.join(repeated, same, "left_anti").unionByName(once), length, keep, most_kinds)
+        if keep == NONE:  # all its strings start elsewhere too
+            size = F.octet_length("text").cast("bigint")
+            whole = once.where(size >= length).select("doc_id", "text_hash", F.lit(0).cast("bigint").alias("start"), size.alias("end"))
+            spans = spans.join(repeated, _same_document(spans, repeated), "left_anti").unionByName(whole)
     # Both lists are filled row by row, so they stay side by side.
     per_doc = spans.groupBy("doc_id", "text_hash").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")
@@ -470,7 +483,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = FIRST, mos
     empty, a null text stays null, and other columns are unchanged.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    marked = docs.select("doc_id", "text", F.struct(F.col("text").alias("given"), *others).alias("given_row"))
+    given_text = free_name(docs, "given")
+    marked = docs.select("doc_id", "text", F.struct(F.col("text").alias(given_text), *others).alias("given_row"))
     joined = _with_spans(marked, length, keep, most_kinds, "given_row")
     schema = joined.select("text").schema
 
@@ -498,7 +512,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = FIRST, mos
         run,
         f"doc_id {kept['doc_id'].dataType.simpleString()}, "
         f"given_row {kept['given_row'].dataType.simpleString()}, text {schema['text'].dataType.simpleString()}",
-    ).withColumn("text", F.when(F.col("given_row.given").isNotNull(), F.col("text")))
+    ).withColumn("text", F.when(F.col("given_row")[given_text].isNotNull(), F.col("text")))
     columns = {c: F.col("given_row")[c] for c in others}
     if "n_chars" in columns:
         counted = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -13,7 +13,6 @@ from scribeframe.llm import simhash as simhash_module
 from scribeframe.llm import suffix_dedup as suffix_module
 from scribeframe.llm.components import components, spanning_forest
 from scribeframe.llm.embedding_dedup import build_index, near_duplicate_vectors
-from scribeframe.llm.near_copies import near_copies
 from scribeframe.llm.simhash import drop_near_duplicates, near_duplicates, simhash
 from scribeframe.llm.suffix_dedup import FIRST, NONE, remove_repeats, removal_digests, suffix_runs
 
@@ -111,37 +110,14 @@ def test_near_duplicates_of_the_small_table(spark):
     assert drop_near_duplicates(documents(spark, [])).count() == 0
 
 
-def slow_shingles(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)} - {""}
-
-
-@pytest.mark.parametrize("block", [256, 3])
-def test_edited_copies_leave_one_document(spark, block):
-    rng = random.Random(12)
-    rows = [(k, prose(rng, rng.choice([3, 40, 150]))) for k in range(40)]
-    for k in range(120):
-        words = rows[k % 40][1].split()
-        for _ in range(max(1, len(words) * rng.randint(1, 5) // 120)):
-            words[rng.randrange(len(words))] = "edited"
-        rows.append((100 + k, " ".join(words)))
-    rows += [(300, ""), (301, None), (None, rows[7][1])]
-    sets = [slow_shingles(t) for _, t in rows]
-    links = []
-    for a in range(len(rows)):
-        for b in range(a):
-            either = len(sets[a] | sets[b])
-            if (len(sets[a] & sets[b]) / either if either else 1) >= 0.8:
-                links.append((a, b))
-    assert sum(0.8 <= len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) < 0.95 for a, b in links) > 20
-    label = reach(len(rows), links)
-    want = []
-    for k, (doc, _) in enumerate(rows):
-        want.append((doc, min(rows[j][0] for j in range(len(rows)) if label[j] == label[k] and rows[j][0] is not None)))
-    got = [(r.doc_id, r.component_id) for r in near_copies(documents(spark, rows), block=block).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
-    kept = [r.doc_id for r in drop_near_duplicates(documents(spark, rows)).collect()]
-    assert sorted(kept) == sorted(d for d, c in want if d == c)
+def test_clashing_names_and_small_ids(spark):
+    rows = [(1, "same words here again"), (2, "same words here again"), (3, "other"), (3, "other")]
+    frame = spark.createDataFrame(
+        [(i, t, "x", 1, 2, 3) for i, t in rows],
+        "doc_id smallint, text string, kept_id string, kept_id_ int, component_id int, given int",
+    )
+    assert sorted(r.doc_id for r in drop_near_duplicates(frame).collect()) == [1, 3, 3]
+    assert drop_near_duplicates(frame).columns == frame.columns
 
 
 VECTORS = "vec_id bigint, embedding array<float>, raw string, node int, links int"
@@ -275,6 +251,24 @@ def test_repeats_of_nulls_repeated_rows_and_nothing(spark):
     assert remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_a_document_that_is_there_many_times(spark):
+    rng = random.Random(21)
+    text, other = prose(rng, 400), prose(rng, 100)
+    rows = [(1, text)] * 2000 + [(2, other + text[500:900] + other[::-1]), (3, "short"), (3, "short"), (4, other)]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id smallint, text string, n int, given string")
+    spans = suffix_module._with_spans(frame, 200, NONE, 2048).where("doc_id = 1").limit(1).first()
+    assert spans["starts"] == [0] and spans["ends"] == [len(text)]
+    got = removal_digests(frame).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    size = len(other) * 2 + 400
+    want = [(1, len(text), len(text), 1, 2000), (3, 5, 0, 0, 2), (4, len(other), len(other), 1, 1)]
+    by_doc = {r.doc_id: tuple(r) for r in got}
+    assert [by_doc[k[0]] for k in want] == want and by_doc[2][1] == size
+    assert by_doc[2][2] >= 400 + len(other)
+    first = remove_repeats(frame).groupBy("doc_id", "text").count().collect()
+    assert {r.text: r["count"] for r in first if r.doc_id == 1} == {text: 2000}
+    assert remove_repeats(frame).columns == frame.columns
+
+
 def test_suffix_order():
     rng = random.Random(0)
     parts = ["".join(rng.choices("ab", k=rng.randint(0, 60))).encode() for _ in range(20)]
