@@ -28,7 +28,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies (five-word shingles, 0.8)."""
+    """One document, the one with the smallest id, of each group of near copies (fingerprints within three bits)."""
     ship_package(spark)
     return drop_near_duplicates(docs)
 
