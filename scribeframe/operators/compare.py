@@ -30,16 +30,59 @@ def pair_models(
     A sample scored by one model only is kept, with nulls for the other.
     ``shared`` names columns that belong to the sample and not to the model.
     """
+    return pair_with_reason(baseline, candidate, key, shared).drop("reason")
+
+
+def pair_with_reason(
+    baseline: DataFrame,
+    candidate: DataFrame,
+    key: str = "sample_id",
+    shared: Sequence[str] = ("reference",),
+) -> DataFrame:
+    """``pair_models`` and the ``reason`` why a sample is not a pair, null if it is one.
+
+    ``baseline only`` or ``candidate only`` tells which model scored it, also
+    where a hypothesis or a rate is null. Null keys pair with nothing; a key
+    that a model has several times pairs with each row of the other's.
+    """
     own = ["hypothesis", "word_edits", "ref_words", "wer"]
 
     def named(scored: DataFrame, prefix: str) -> DataFrame:
-        return scored.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in [*shared, *own]])
+        columns = [F.col(c).alias(f"{prefix}_{c}") for c in [*shared, *own]]
+        return scored.select(key, *columns, F.lit(True).alias(f"{prefix}_scored"))
 
     paired = named(baseline, "baseline").join(named(candidate, "candidate"), key, "full_outer")
     return paired.select(
         key,
         *[F.coalesce(f"baseline_{c}", f"candidate_{c}").alias(c) for c in shared],
         *[F.col(f"{prefix}_{c}") for prefix in ("baseline", "candidate") for c in own],
+        F.when(F.col("candidate_scored").isNull(), "baseline only")
+        .when(F.col("baseline_scored").isNull(), "candidate only")
+        .alias("reason"),
+    )
+
+
+def pairing_report(paired: DataFrame, *group: str) -> DataFrame:
+    """What the rates of a comparison rest on, per group of ``pair_with_reason`` rows.
+
+    ``samples`` of either model, ``both_scored`` of them scored by both,
+    ``baseline_only``, ``candidate_only``; and ``baseline_rate`` and
+    ``candidate_rate`` over the samples that both scored, so that a sample one
+    model lacks can't favour it.
+    """
+    both = F.col("reason").isNull()
+
+    def rate(model: str) -> Column:
+        edits, words_ = (F.sum(F.when(both, F.col(f"{model}_{c}"))) for c in ("word_edits", "ref_words"))
+        return F.try_divide(edits.cast("double"), words_.cast("double")).alias(f"{model}_rate")
+
+    return paired.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.count_if(both).alias("both_scored"),
+        F.count_if(F.col("reason") == "baseline only").alias("baseline_only"),
+        F.count_if(F.col("reason") == "candidate only").alias("candidate_only"),
+        rate("baseline"),
+        rate("candidate"),
     )
 
 

@@ -124,3 +124,27 @@ def test_pairs_scored_in_one_pass_or_joined(spark):
     assert [r.sample_id for r in compare.worst_examples(side, n=1).collect()] == [4]
     plan = compare.worst_examples(side)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") <= 2
+
+
+def test_pairs_that_one_model_lacks(spark):
+    schema = "sample_id int, reference string, hypothesis string, word_edits long, ref_words long, wer double"
+    first = spark.createDataFrame([(1, "a b", None, None, 2, None), (2, "x", "x", 0, 1, 0.0), (None, "n", "n", 0, 1, 0.0)], schema)
+    second = spark.createDataFrame([(2, "x", "y", 1, 1, 1.0), (3, "z", "z", 0, 1, 0.0), (None, "n", "n", 0, 1, 0.0)], schema)
+    paired = compare.pair_with_reason(first, second)
+    found = sorted(((r.sample_id, r.reference, r.reason) for r in paired.collect()), key=str)
+    want = [(1, "a b", "baseline only"), (2, "x", None), (3, "z", "candidate only")]
+    want += [(None, "n", "baseline only"), (None, "n", "candidate only")]
+    assert found == sorted(want, key=str)
+    report = compare.pairing_report(paired).first()
+    assert tuple(report) == (5, 1, 2, 2, 0.0, 1.0)
+    empty = first.limit(0)
+    assert compare.pair_with_reason(empty, empty).count() == 0
+    assert compare.pair_models(first, second).columns == [c for c in paired.columns if c != "reason"]
+
+
+def test_sizes_are_counted_by_the_write(spark):
+    rows = spark.createDataFrame([("a", "train"), (" ", "train"), (None, "test"), ("b", "test"), ("c", None)], "text string, split string")
+    counted, seen = curate.size_report(rows, split="split")
+    assert "CollectMetrics" in counted._jdf.queryExecution().executedPlan().toString()
+    assert counted.count() == 5
+    assert seen.get == {"loaded": 5, "kept": 3, "train": 1, "test": 1}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scribeframe.functions.text import not_blank
 from scribeframe.operators import curate, sampling
+from scribeframe.session import release, stage
 from workload.registry import micro, micro_sql, query, strict_sql, strip_sql, table
 
 RATE = 16_000
@@ -240,3 +241,20 @@ def size_report(spark, sf_dir):
     return rows.groupBy("split").agg(
         F.count(F.lit(1)).alias("loaded"), F.count_if(not_blank(F.col("text"))).alias("kept")
     )
+
+
+@query(
+    "observed_size",
+    f"""SELECT count(*) AS loaded, count(*) FILTER (kept) AS kept, count(*) FILTER (kept AND split = 'train') AS train,
+               count(*) FILTER (kept AND split = 'test') AS test
+        FROM (SELECT length({strip_sql('text')}) > 0 AS kept,
+                     CASE WHEN ('0x' || substr({_HASH}, 1, 8))::BIGINT < {int((1 - 0.95) * 2**32)}
+                     THEN 'test' ELSE 'train' END AS split FROM documents)""",
+)
+def observed_size(spark, sf_dir):
+    """What writing the split table counted on its way; the table isn't read again for it."""
+    rows = sampling.train_test_split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    counted, seen = curate.size_report(rows, split="split")
+    release(stage(counted, "split-documents"))
+    names = ("loaded", "kept", "train", "test")
+    return spark.createDataFrame([[seen.get[n] for n in names]], ", ".join(f"{n} bigint" for n in names))

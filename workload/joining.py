@@ -13,12 +13,15 @@ EXTENSIONS = ("ogg", "m4a", "flac", "mp3", "wav")
 
 
 def recordings(spark, sf_dir):
-    """Audio listed beside documents: the extensions and folders follow from the id."""
+    """Audio listed beside documents: the extensions and folders follow from the id.
+
+    Every eleventh document's recordings have a stem that no transcript has.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("subset"))
     copies = docs.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("doc_id") % 4)))
     extension = F.get(F.array(*map(F.lit, EXTENSIONS)), ((F.col("doc_id") * 3 + F.col("n") * 2) % 5).cast("int"))
-    stem = F.concat(F.lit("s"), F.col("doc_id"))
-    rows = copies.filter("doc_id % 11 <> 0").select(
+    stem = F.concat(F.when(F.col("doc_id") % 11 == 0, "spare").otherwise("s"), F.col("doc_id"))
+    rows = copies.select(
         "subset", stem.alias("stem"), extension.alias("extension"), ((F.col("doc_id") + F.col("n")) % 3).cast("int").alias("folder_rank")
     )
     name = F.concat_ws("/", F.lit("/data"), "subset", F.col("folder_rank").cast("string"), F.concat("stem", F.lit("."), "extension"))
@@ -26,18 +29,21 @@ def recordings(spark, sf_dir):
 
 
 def transcripts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select(
-        F.col("lang").alias("subset"), F.concat(F.lit("s"), F.col("doc_id")).alias("stem"), F.col("text").alias("reference")
+    """A transcript per document; every seventh has a stem that no recording has."""
+    stem = F.concat(F.when(F.col("doc_id") % 7 == 0, "silent").otherwise("s"), F.col("doc_id"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("subset"), stem.alias("stem"), F.col("text").alias("reference")
     )
 
 
 _RECORDINGS = """
   SELECT *, '/data/' || subset || '/' || folder_rank || '/' || stem || '.' || extension AS path,
          stem || '.' || extension AS audio_file
-  FROM (SELECT lang AS subset, 's' || doc_id AS stem, (doc_id + n) % 3 AS folder_rank,
+  FROM (SELECT lang AS subset, if(doc_id % 11 = 0, 'spare', 's') || doc_id AS stem, (doc_id + n) % 3 AS folder_rank,
                ['ogg', 'm4a', 'flac', 'mp3', 'wav'][(doc_id * 3 + n * 2) % 5 + 1] AS extension
-        FROM (SELECT doc_id, lang, unnest(range(doc_id % 4 + 1)) AS n FROM documents WHERE doc_id % 11 <> 0))"""
-_TRANSCRIPTS = "SELECT lang AS subset, 's' || doc_id AS stem, text AS reference FROM documents WHERE doc_id % 7 <> 0"
+        FROM (SELECT doc_id, lang, unnest(range(doc_id % 4 + 1)) AS n FROM documents))"""
+_TRANSCRIPTS = """
+  SELECT lang AS subset, if(doc_id % 7 = 0, 'silent', 's') || doc_id AS stem, text AS reference FROM documents"""
 
 
 @query(

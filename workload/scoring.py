@@ -195,6 +195,60 @@ def compare_models(spark, sf_dir):
     return compared.withColumns({r: micro(F.col(r)) for r in rates})
 
 
+#: Every seventh sample goes by an id of its own in the baseline's table, every eleventh in the candidate's.
+_APART = {"baseline": (7, 1), "candidate": (11, 2)}
+
+
+def _scored_apart(spark, sf_dir, name: str, model: tuple[int, int]) -> DataFrame:
+    every, place = _APART[name]
+    own = F.when(F.col("sample_id") % every == 0, -(2 * F.col("sample_id") + place)).otherwise(F.col("sample_id"))
+    return score_pairs(hypotheses(spark, sf_dir, model), "strict").withColumn("sample_id", own)
+
+
+def _apart_sql(name: str, model: tuple[int, int]) -> str:
+    every, place = _APART[name]
+    return f"""SELECT *, CASE WHEN doc_id % {every} = 0 THEN -(2 * doc_id + {place}) ELSE doc_id END AS sample_id
+        FROM ({scored_documents_sql('strict', *model)})"""
+
+
+_PAIRED = f"""
+  SELECT sample_id, coalesce(b.lang, c.lang) AS subset, b.word_edits AS b_edits, c.word_edits AS c_edits,
+         b.ref_words AS b_words, c.ref_words AS c_words,
+         CASE WHEN c.doc_id IS NULL THEN 'baseline only' WHEN b.doc_id IS NULL THEN 'candidate only' END AS reason
+  FROM ({_apart_sql('baseline', BASELINE)}) b FULL JOIN ({_apart_sql('candidate', CANDIDATE)}) c USING (sample_id)"""
+
+
+def paired_by_id(spark, sf_dir) -> DataFrame:
+    """Two tables of scores, each over all documents, some of them under ids that the other lacks."""
+    sides = (_scored_apart(spark, sf_dir, name, model) for name, model in (("baseline", BASELINE), ("candidate", CANDIDATE)))
+    return compare.pair_with_reason(*sides, shared=["reference", "subset"])
+
+
+@query(
+    "pair_models",
+    f"""SELECT sample_id, subset, b_edits AS baseline_word_edits, c_edits AS candidate_word_edits, reason
+        FROM ({_PAIRED})""",
+)
+def pair_models(spark, sf_dir):
+    return paired_by_id(spark, sf_dir).select(
+        "sample_id", "subset", "baseline_word_edits", "candidate_word_edits", "reason"
+    )
+
+
+@query(
+    "pairing_report",
+    f"""SELECT subset, count(*) AS samples, count(*) FILTER (reason IS NULL) AS both_scored,
+               count(*) FILTER (reason = 'baseline only') AS baseline_only,
+               count(*) FILTER (reason = 'candidate only') AS candidate_only,
+               {micro_sql("sum(b_edits) FILTER (reason IS NULL)::DOUBLE / sum(b_words) FILTER (reason IS NULL)::DOUBLE")} AS baseline_rate,
+               {micro_sql("sum(c_edits) FILTER (reason IS NULL)::DOUBLE / sum(c_words) FILTER (reason IS NULL)::DOUBLE")} AS candidate_rate
+        FROM ({_PAIRED}) GROUP BY subset""",
+)
+def pairing_report(spark, sf_dir):
+    report = compare.pairing_report(paired_by_id(spark, sf_dir), "subset")
+    return report.withColumns({c: micro(F.col(c)) for c in ("baseline_rate", "candidate_rate")})
+
+
 @query(
     "objectives",
     f"""WITH both_models AS MATERIALIZED ({_BOTH}),
