@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribeframe.storage import file_facts, path_exists
+from scribeframe.storage import create_empty, delete_folder, file_facts, oldest_match
 
 SCORE_COLUMNS = ("subset", "audio_file", "reference", "hypothesis", "wer", "cer")
 
@@ -40,32 +42,67 @@ def write_references(references: DataFrame, path: str) -> None:
     references.select("id", "text").write.parquet(path)
 
 
-def export_reference_files(references: DataFrame, folder: str) -> None:
-    """One ``{id}.txt`` per row, written by the tasks through Arrow's file systems."""
-    from pyarrow import fs
+def safe_name(identifier) -> str:
+    """An id as a file name: no separators, and nothing that a scan takes for a hidden file.
 
-    def write(rows) -> None:
-        target, root = fs.FileSystem.from_uri(folder)
-        target.create_dir(root, recursive=True)
-        for row in rows:
-            with target.open_output_stream(f"{root}/{row['id']}.txt") as out:
-                out.write(row["text"].encode("utf-8"))
+    Such characters become ``%XX``, and so does ``%`` itself, so different ids keep different names.
+    """
+    return re.sub(r"[%/\\\x00-\x1f]|\A[._]", lambda found: f"%{ord(found[0]):02X}", str(identifier))
 
-    references.select("id", "text").foreachPartition(write)
 
+def id_of_stem(stem: Column) -> Column:
+    """The id that ``safe_name`` was given, from the stem of the file."""
+    return F.try_url_decode(F.regexp_replace(stem, r"\+", "%2B"))
 
-def export_binary_files(contents: DataFrame, folder: str, suffix: str) -> None:
-    """One file per row of ``id, content``, written by the tasks."""
+
+def _export(rows: DataFrame, folder: str, suffix: str) -> None:
+    """One file per row of ``place, content`` (null: an empty file), written by the tasks.
+
+    A task that runs again writes the same files again. A null place is an error.
+    """
     from pyarrow import fs
 
-    def write(rows) -> None:
+    def write(part) -> None:
         target, root = fs.FileSystem.from_uri(folder)
-        target.create_dir(root, recursive=True)
-        for row in rows:
-            with target.open_output_stream(f"{root}/{row['id']}{suffix}") as out:
-                out.write(bytes(row["content"]))
+        made = set()
+        for place, content in part:
+            path = "/".join([root, *map(safe_name, place)]) + suffix
+            parent = path.rpartition("/")[0]
+            if parent not in made:
+                target.create_dir(parent, recursive=True)
+                made.add(parent)
+            with target.open_output_stream(path) as out:
+                out.write(bytes(content or b""))
+
+    rows.foreachPartition(write)
+
+
+def _place(folders: Sequence[str | Column]) -> Column:
+    """Names of the folders and of the file, all of them there."""
+    names = [*folders, "id"]
+    columns = [F.col(name) if isinstance(name, str) else name for name in names]
+    given = [F.when(c.isNull(), F.raise_error(F.lit("a row to export has no name"))).otherwise(c.cast("string")) for c in columns]
+    return F.array(*given)
+
+
+def export_reference_files(
+    references: DataFrame, folder: str, suffix: str = ".txt", folders: Sequence[str | Column] = ()
+) -> None:
+    """One file per row of ``id, text`` in UTF-8, written through Arrow's file systems.
+
+    ``folder`` is a URI; ``folders`` are columns that name folders below it.
+    Null texts give empty files, which scans don't list.
+    """
+    _export(references.select(_place(folders), F.encode("text", "UTF-8")), folder, suffix)
+
+
+def export_binary_files(contents: DataFrame, folder: str, suffix: str) -> None:
+    """One file per row of ``id, content``; null gives an empty file."""
+    _export(contents.select(_place(()), "content"), folder, suffix)
+
 
-    contents.select("id", "content").foreachPartition(write)
+#: Name of the empty file that makes a finished build visible.
+PUBLISHED = "_PUBLISHED"
 
 
 def materialize_once(
@@ -79,11 +116,23 @@ def materialize_once(
 
     The path holds a digest of ``inputs`` and of the files below the ``data``
     paths (name, size, time of change), so a changed configuration or changed
-    input is a new table. A table without its success mark is computed again.
+    input is a new table.
+
+    Every build writes to a folder of its own and is seen only once its mark
+    exists, an empty file whose creation is atomic on any store. Callers that
+    build at the same time never touch one another's files: whoever finds a
+    mark when done drops the own unseen build and reads the published one; if
+    two publish in the same moment, the oldest mark counts for all. A build
+    that broke off has no mark and is never read.
     """
     described = {"inputs": inputs, "data": [file_facts(spark, path) for path in data]}
     digest = hashlib.sha256(json.dumps(described, sort_keys=True).encode()).hexdigest()[:16]
-    path = f"{folder.rstrip('/')}/{digest}"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    marks = f"{folder.rstrip('/')}/{digest}/*/{PUBLISHED}"
+    if oldest_match(spark, marks) is None:
+        own = f"{folder.rstrip('/')}/{digest}/{uuid.uuid4().hex}"
+        build().write.parquet(own)
+        if oldest_match(spark, marks) is None:
+            create_empty(spark, f"{own}/{PUBLISHED}")
+        else:
+            delete_folder(spark, own)
+    return spark.read.parquet(oldest_match(spark, marks).removesuffix(f"/{PUBLISHED}"))

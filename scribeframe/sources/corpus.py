@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scribeframe.operators.curate import select_corpus
 from scribeframe.operators.sampling import first_n, sample_ids
+from scribeframe.session import stage
 
 Reader = Callable[[SparkSession], DataFrame]
 
@@ -55,6 +56,27 @@ def read_first_available(spark: SparkSession, sources: Sequence[Source]) -> Data
     raise failure if failure is not None else ValueError("no sources given")
 
 
+def read_first_whole(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
+    """The first source whose rows can all be read, with its name in ``actual_source``.
+
+    Each source in turn is written to a place of its own in the work folder. One that fails
+    halfway, in its schema or in any row, leaves nothing behind that is read, so
+    the result never mixes two sources. When a source may not take over from
+    the error before it, that error is raised; without sources a ``ValueError``.
+    """
+    failure: Exception | None = None
+    for source in sources:
+        if failure is not None and not source.takes_over(failure):
+            raise failure
+        try:
+            found = stage(source.read(spark), "source")
+        except Exception as error:  # noqa: BLE001 - any failure hands over to the next source
+            failure = error
+            continue
+        return found.withColumn("actual_source", F.lit(source.name))
+    raise failure if failure is not None else ValueError("no sources given")
+
+
 def first_valid(
     df: DataFrame, key: str, n: int, valid: Column, look_at: int | None = None
 ) -> DataFrame:

@@ -26,7 +26,9 @@ from scribeframe.functions.transcripts import (
 )
 from scribeframe.operators.curate import MIN_TEXT_LENGTH, SAMPLING_RATE
 from scribeframe.operators.match import COURSE_AUDIO, TRANSCRIPT_AUDIO, attach_preferred_audio, texts_with_audio
-from scribeframe.storage import matches, path_exists, unlisted_files
+from scribeframe.operators.places import PATH, RANK, SPLIT, numbered, with_places
+from scribeframe.session import stage
+from scribeframe.storage import has_files, literally, matches, matching_folders, path_exists, unlisted_files
 
 # Audio extensions (lower or all upper case), the course folder
 # left out, and the folder names of the trees.
@@ -155,13 +157,21 @@ def scan_stm(spark: SparkSession, *folders: str, drop_label: bool = False) -> Da
     return files.select("path", "subset", "stem", text.alias("text"))
 
 
-def scan_stm_cues(spark: SparkSession, *folders: str, drop_label: bool = False) -> DataFrame:
-    """One row per STM line, read line by line so that large files are split over tasks."""
-    rows = spark.read.option("pathGlobFilter", "*.stm").text(list(folders))
+def scan_stm_cues(
+    spark: SparkSession, *folders: str, drop_label: bool = False, pattern: str = "*.stm"
+) -> DataFrame:
+    """One row per cue, read line by line so that large files are split over tasks.
+
+    ``cue`` numbers the cues of a file from 1 in file order, comments and
+    incomplete lines not counted. ``gap`` is the time since the end of the cue
+    before, whatever split of the file holds it: negative where the two
+    overlap, null for the first cue of a file, and where a time is missing or is
+    no number. The lines are written to the work folder once and read from there.
+    """
+    lines = with_places(spark.read.option("pathGlobFilter", pattern).text(list(folders)))
     line = F.col("value")
-    path = _decoded(F.col("_metadata.file_path"))
-    return rows.select(
-        file_stem(path).alias("stem"),
+    cues = lines.select(
+        PATH, SPLIT, RANK,
         stm_field(line, 1).alias("filename"),
         stm_field(line, 2).alias("channel"),
         stm_field(line, 3).alias("speaker"),
@@ -169,6 +179,12 @@ def scan_stm_cues(spark: SparkSession, *folders: str, drop_label: bool = False)
         stm_field(line, 5).try_cast("double").alias("end"),
         stm_text(line, drop_label).alias("text"),
     ).filter("filename <> ''")
+    placed = numbered(stage(cues, "stm-cues"), number="cue", previous={"_ended": F.col("end")})
+    path = _decoded(F.col(PATH))
+    return placed.select(
+        path.alias("path"), file_stem(path).alias("stem"), "cue", "filename", "channel", "speaker", "start", "end",
+        (F.col("start") - F.col("_ended")).alias("gap"), "text",
+    )
 
 
 def scan_trs(
@@ -222,24 +238,23 @@ def discover_courses(
     short``. Without any such tree there are no rows.
 
     A course with STM files is read from those, any other from its TRS files.
-    Whether a course has STM files is known from the listing, so no transcript
-    is compared with another.
+    That is settled by listing folders, before any file is read: the TRS files
+    of a course with STM files are not even part of the scan.
     """
-    manual = f"{root}/data/*/{MANUAL_FOLDER}"
-    if not matches(spark, manual):
-        return spark.createDataFrame([], "course string, stem string, text string, reason string")
-    course = path_segment(F.col("path"), 3)
-    whole = (~course.startswith(".")) & (course != INCOMPLETE_COURSES)
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.stm").load(manual)
-    with_stm = listing.select(course.alias("course")).distinct()
-    stm = scan_stm(spark, manual).filter(whole).select(course.alias("course"), "stem", "text")
-    trs = (
-        scan_trs(spark, manual, element_text_only=element_text_only, unreadable=None)
-        .filter(whole)
-        .select(course.alias("course"), "stem", "text")
-        .join(with_stm, "course", "left_anti")
-    )
-    texts = stm.unionByName(trs)
+    folders = [
+        folder
+        for folder in matching_folders(spark, f"{root}/data/*/{MANUAL_FOLDER}")
+        if not (course := folder.split("/")[-2]).startswith(".") and course != INCOMPLETE_COURSES
+    ]
+    timed = [folder for folder in folders if has_files(spark, folder, ".stm")]
+    others = sorted(set(folders) - set(timed))
+    course = path_segment(F.col("path"), 3).alias("course")
+    texts = spark.createDataFrame([], "course string, stem string, text string")
+    if timed:
+        texts = texts.unionByName(scan_stm(spark, *map(literally, timed)).select(course, "stem", "text"))
+    if others:
+        trs = scan_trs(spark, *map(literally, others), element_text_only=element_text_only, unreadable=None)
+        texts = texts.unionByName(trs.select(course, "stem", "text"))
     reason = F.when(F.col("text").isNull(), "unreadable").when(
         F.length(strip(F.col("text"))) < MIN_TEXT_LENGTH, "too short"
     )

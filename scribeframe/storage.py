@@ -6,6 +6,8 @@ open whatever store the session can read. It needs a classic session.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -27,6 +29,42 @@ def matches(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def oldest_match(spark: SparkSession, pattern: str) -> str | None:
+    """The path that matches a pattern and changed first, ties by name; None without any."""
+    target, system = _open(spark, pattern)
+    found = system.globStatus(target) or []
+    return min(((one.getModificationTime(), one.getPath().toString()) for one in found), default=(0, None))[1]
+
+
+def matching_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that match a pattern, in order of their names."""
+    target, system = _open(spark, pattern)
+    return sorted(one.getPath().toString() for one in system.globStatus(target) or [] if one.isDirectory())
+
+
+def has_files(spark: SparkSession, folder: str, suffix: str) -> bool:
+    """Whether a scan of a folder for a suffix would list anything; stops at the first such file."""
+    target, system = _open(spark, folder)
+    found = system.listStatusIterator(target)
+    while found.hasNext():
+        one = found.next()
+        name = one.getPath().getName()
+        if one.isFile() and one.getLen() > 0 and name.endswith(suffix) and not name.startswith((".", "_")):
+            return True
+    return False
+
+
+def literally(path: str) -> str:
+    """A path whose wildcard characters stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def create_empty(spark: SparkSession, path: str) -> None:
+    """Create an empty file; an error where there is one already."""
+    target, system = _open(spark, path)
+    system.create(target, False).close()
+
+
 def file_facts(spark: SparkSession, path: str) -> list[list]:
     """Name, size and time of change of every file at or below a path, in order of the names."""
     target, system = _open(spark, path)
