@@ -25,12 +25,16 @@ WS = r"\p{IsWhite_Space}\x1c-\x1f"
 WORD = r"\p{L}\p{N}_"
 
 _NOT_BLANK = f"[^{WS}]"
-_EDGES = rf"\A[{WS}]+|(?<![{WS}])[{WS}]+\z"
+_INSIDE = rf"(?s)\A[{WS}]*+(.*[^{WS}])"
+
+# What most characters are, asked first: Latin letters and spaces need no rule
+# below, and a range is compared faster than a class is looked up.
+_RARE = "[^a-z ]"
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode white space (``trim`` only knows U+0020)."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.regexp_extract(text, _INSIDE, 1)
 
 
 def not_blank(text: Column) -> Column:
@@ -50,7 +54,7 @@ def normalize_strict(text: Column, nfc: bool = False) -> Column:
     combining mark is not a word character; ``nfc=True`` composes them first.
     """
     source = compose(text) if nfc else text
-    kept = F.regexp_replace(F.lower(source), f"[^{WORD}{WS}]", "")
+    kept = F.regexp_replace(F.lower(source), f"[{_RARE}&&[^{WORD}{WS}]]+", "")
     return F.coalesce(squeeze(kept), F.lit(""))
 
 
@@ -67,7 +71,7 @@ def normalize_basic(text: Column) -> Column:
     """Lower-case, drop bracketed remarks, NFKC, marks/symbols/punctuation to spaces, squeeze."""
     spoken = F.regexp_replace(F.lower(text), r"[<\[][^>\]]*[>\]]", "")
     spoken = F.regexp_replace(spoken, r"\([^)]+\)", "")
-    spaced = F.regexp_replace(nfkc(spoken, seen=text), r"[\p{M}\p{S}\p{P}]", " ")
+    spaced = F.regexp_replace(nfkc(spoken, seen=text), rf"[{_RARE}&&[\p{{M}}\p{{S}}\p{{P}}]]", " ")
     return squeeze(F.lower(spaced))
 
 
@@ -109,7 +113,7 @@ _LATIN_BLOCKS = ((0x0000, 0x024F), (0x2010, 0x2027), (0x20A0, 0x20BF))
 
 
 def _normal_form(form: str):
-    unstable = f"[^{_stable_class(_LATIN_BLOCKS, form)}]"
+    unstable = rf"[[^\x00-\x7f]&&[^{_stable_class(_LATIN_BLOCKS, form)}]]"  # ASCII is stable
 
     @F.pandas_udf(StringType())
     def apply_form(text: pd.Series) -> pd.Series:
@@ -121,7 +125,7 @@ def _normal_form(form: str):
         keeps a long expression for ``text`` from being evaluated once more.
         """
         needs_it = (text if seen is None else seen).rlike(unstable)
-        return F.when(needs_it, apply_form(F.when(needs_it, text))).otherwise(text)
+        return F.coalesce(apply_form(F.when(needs_it, text)), text)
 
     return column
 
