@@ -130,3 +130,64 @@ def test_both_routes_of_character_edits(spark, monkeypatch):
         for r in got:
             assert r.d == plain_distance(r.a, r.b)
             assert r.w == plain_distance(r.a.split(), r.b.split())
+
+
+def garbled(rng, words):
+    """Words with some missing, some not understood, some heard as others and some added."""
+    out = []
+    for word in words:
+        draw = rng.random()
+        if draw < 0.7:
+            out.append(word)
+        elif draw < 0.8:
+            out.append(rng.choice(["?", "the", "", word + "s"]))
+        elif draw < 0.85:
+            out += [word, rng.choice(["a", "uh"])]
+    return out
+
+
+def test_bounds_of_texts_are_exact(monkeypatch):
+    rng = random.Random(8)
+    for case in range(300):
+        a = rng.choices(["the", "a", "", "été", "no", "ab", "\n"], k=rng.randint(0, 30))
+        b = garbled(rng, a) if rng.random() < 0.9 else []
+        a, b = (" ".join(x) for x in ((a, b) if case % 2 else (b, a)))
+        monkeypatch.setattr(edits, "GROUPS", rng.choice([(0,), (0, 3), (0, 2, 8), ()]))
+        assert edits.text_distance(a, b) == plain_distance(a, b)
+
+
+def test_long_texts_fill_no_whole_matrix(monkeypatch):
+    rng = random.Random(9)
+    a = ["".join(rng.choices("etaoinshr", k=rng.randint(1, 9))) for _ in range(3000)]
+    b = ["ж" if i % 5 == 0 else word for i, word in enumerate(a, 1) if i % 7]
+    whole, asked = edits.edit_distance, []
+    wanted = whole(" ".join(a), " ".join(b))
+    monkeypatch.setattr(edits, "edit_distance", lambda x, y: asked.append(len(x) * len(y)) or whole(x, y))
+    assert edits.text_distance(" ".join(a), " ".join(b)) == wanted
+    assert sum(asked) < 1_000_000  # of 150 million cells
+
+
+def test_band_is_as_wide_as_the_edits_need(monkeypatch):
+    rng = random.Random(10)
+    a = rng.choices("abcdefgh", k=4000)
+    b = [x for x in a if rng.random() < 0.7]
+    wanted = edits.edit_distance(a, b)
+    monkeypatch.setattr(edits, "STRIP_ROWS", 64)
+    advance, cells = edits._advance_strip, []
+    monkeypatch.setattr(edits, "_advance_strip", lambda r, c, up: cells.append(len(r) * len(c)) or advance(r, c, up))
+    assert edits.edit_distance(a, b) == wanted
+    assert sum(cells) < len(a) * len(b) * 6 // 10
+
+
+def test_strip_of_blanks_and_lines(spark):
+    for text in (" \u2003\x1f\n" * 5000, "", "\u00a0 a \n\n \U0001f600 b\x1c\u3000", "x", " \n.\n "):
+        assert one(spark, strip, text) == text.strip()
+    assert one(spark, strip, None) is None
+
+
+def test_normal_form_asks_each_text_once(spark):
+    frame = spark.createDataFrame([("ﬁn (eh) Ⅳ",), (None,), ("plain <b>",)], "t string")
+    out = frame.select(PROFILES["basic"](F.col("t")).alias("t"))
+    assert [r.t for r in out.collect()] == ["fin iv", None, "plain"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1
