@@ -43,15 +43,12 @@ def matching_folders(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def has_files(spark: SparkSession, folder: str, suffix: str) -> bool:
-    """Whether a scan of a folder for a suffix would list anything; stops at the first such file."""
-    target, system = _open(spark, folder)
-    found = system.listStatusIterator(target)
-    while found.hasNext():
-        one = found.next()
-        name = one.getPath().getName()
-        if one.isFile() and one.getLen() > 0 and name.endswith(suffix) and not name.startswith((".", "_")):
-            return True
-    return False
+    """Whether a scan of a folder for a suffix would list anything.
+
+    The names are compared where they are listed; a folder of other files costs one call.
+    """
+    target, system = _open(spark, f"{literally(folder)}/[^._]*{literally(suffix)}")
+    return any(one.isFile() and one.getLen() > 0 for one in system.globStatus(target) or [])
 
 
 def literally(path: str) -> str:
@@ -78,10 +75,27 @@ def file_facts(spark: SparkSession, path: str) -> list[list]:
 def unlisted_files(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder that Spark's file sources pass over: hidden and empty files."""
     target, system = _open(spark, folder)
-    found = [(e.getPath().getName(), e.isFile() and e.getLen() == 0) for e in system.listStatus(target)]
+    found = _listed_by_arrow(system.makeQualified(target).toUri().toString())
+    if found is None:
+        found = [(e.getPath().getName(), e.isFile() and e.getLen() == 0) for e in system.listStatus(target)]
     return sorted(n for n, empty in found if (empty or n.startswith((".", "_"))) and not n.endswith(".crc"))
 
 
+def _listed_by_arrow(folder: str) -> list[tuple[str, bool]] | None:
+    """Names in a folder and whether they are empty files, listed without a call to the JVM per file.
+
+    None where Arrow can't open the store.
+    """
+    from pyarrow import ArrowException, fs
+
+    try:
+        system, place = fs.FileSystem.from_uri(folder)
+        found = system.get_file_info(fs.FileSelector(place))
+    except (ArrowException, OSError):
+        return None
+    return [(one.base_name, one.is_file and one.size == 0) for one in found]
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     target, system = _open(spark, path)
     system.delete(target, True)

@@ -7,7 +7,7 @@ import wave
 import pytest
 from pyspark.sql import functions as F
 
-from scribeframe import sinks
+from scribeframe import sinks, storage
 from scribeframe.functions.audio import HEAD_BYTES
 from scribeframe.operators.curate import metadata_rows, validate
 from scribeframe.operators.hooks import evaluate_model, transcribe
@@ -210,3 +210,29 @@ def test_sources_take_over(spark, tmp_path):
     rows = spark.createDataFrame([(k, k % 10 == 0) for k in range(100)], "key int, ok boolean")
     assert [r.key for r in corpus.first_valid(rows, "key", 4, F.col("ok")).collect()] == [0, 10, 20, 30]
     assert corpus.first_valid(rows, "key", 4, F.col("ok"), look_at=8).count() == 1
+
+
+def test_listings_need_no_call_per_file(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "m*ny [files]"
+    folder.mkdir()
+    for k in range(300):
+        (folder / f"{k}.trs").write_text("x" if k % 100 else "")
+    (folder / "empty.stm").touch()
+    (folder / ".hidden.stm").write_text("x")
+    (folder / "below.stm").mkdir()
+    client, calls = spark.sparkContext._gateway._gateway_client, []
+    send = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: calls.append(1) or send(*a, **k))
+    assert not storage.has_files(spark, str(folder), ".stm")
+    assert storage.unlisted_files(spark, str(folder)) == [".hidden.stm", "0.trs", "100.trs", "200.trs", "empty.stm"]
+    assert len(calls) < 150
+    (folder / "full.stm").write_text("x")
+    assert storage.has_files(spark, str(folder), ".stm")
+
+
+def test_listing_of_a_store_that_arrow_cannot_open(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").touch()
+    monkeypatch.setattr(storage, "_listed_by_arrow", lambda folder: None)
+    assert storage.unlisted_files(spark, str(tmp_path)) == ["a.txt"]
+    monkeypatch.undo()
+    assert storage._listed_by_arrow("nosuch://store/folder") is None
