@@ -107,14 +107,14 @@ def _same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
 
 
-CONTEXT = ["anchor", "doc_id", "text_hash", "start", "left", "alone", "bytes"]
+CONTEXT = ["anchor", "doc_id", "text_hash", "start", "left", "alone", "bytes", "busy"]
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted contexts with their bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     per_doc = wanted.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("anchor", "start", "end", "left", "alone")).alias("wanted")
+        F.collect_list(F.struct("anchor", "start", "end", "left", "alone", "busy")).alias("wanted")
     )
     joined = docs.join(per_doc, _same_document(docs, per_doc)).select(
         docs["doc_id"], docs["text_hash"], "text", "wanted"
@@ -128,10 +128,10 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 own = doc.as_py(), text_hash.as_py()
                 for a in anchors.as_py():
                     rows.append(
-                        (a["anchor"], *own, a["start"], a["left"], a["alone"], raw[a["start"] : a["end"]])
+                        (a["anchor"], *own, a["start"], a["left"], a["alone"], raw[a["start"] : a["end"]], a["busy"])
                     )
             if rows:
-                types = [pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                types = [pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], CONTEXT
                 )
@@ -139,7 +139,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(
         run,
         f"anchor bigint, doc_id {kind}, text_hash bigint, start bigint, left int, "
-        "alone boolean, bytes binary",
+        "alone boolean, bytes binary, busy boolean",
     )
 
 
@@ -385,11 +385,13 @@ def repeated_spans(
     if keep == NONE:  # kinds that recur are marked already; they only serve as copies
         several = several.where("least = 1")
     several = stage(several, "several")
-    wanted = kinds.join(several, "anchor").select("anchor", "first.*", (F.col("n") == 1).alias("alone"))
+    wanted = kinds.join(several, "anchor").select(
+        "anchor", "first.*", (F.col("n") == 1).alias("alone"), (F.col("kinds") > most_kinds).alias("busy")
+    )
+    # Told apart by a column: beside a join by anchor no repartition is made, and Spark may split the join's skewed keys.
     contexts = stage(_contexts(keyed, wanted), "context-bytes")
-    busy = several.where(F.col("kinds") > most_kinds).select("anchor")
-    found = _sorted_spans(contexts.join(busy, "anchor", "left_anti"), length, keep)
-    counted = _counted_spans(contexts.join(busy, "anchor", "left_semi"), length, keep)
+    found = _sorted_spans(contexts.where("not busy").select(CONTEXT[:-1]), length, keep)
+    counted = _counted_spans(contexts.where("busy").select(CONTEXT[:-1]), length, keep)
     return covered.unionByName(found).unionByName(counted)
 
 

@@ -229,6 +229,36 @@ def test_repeats_against_brute_force(spark, keep, most_kinds, monkeypatch):
         assert got[doc].kept_sha256 == hashlib.sha256(raw[~out].tobytes()).hexdigest()
 
 
+SPLITTING = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+def test_an_anchor_is_sorted_whole_where_joins_split_keys(spark):
+    """Some anchors have too many kinds of context for a chunk, another is a hot key of the others."""
+    rng = random.Random(31)
+    common, busy = ("".join(rng.choices("abcdefgh", k=190)) for _ in range(2))
+    ends = ["".join(rng.choices("ijklm", k=30)) for _ in range(18)]
+    rows = [(k, common + ends[k % 18] + "".join(rng.choices("nopq", k=300))) for k in range(36)]
+    rows += [(100 + k, busy + ends[k % 18] + "".join(rng.choices("rstu", k=300))) for k in range(60)]
+    rng.shuffle(rows)
+    gone = {row[0]: out.sum() for row, out in zip(rows, slow_removed(rows, 200, NONE), strict=True)}
+    before = {name: spark.conf.get(name) for name in SPLITTING}
+    try:
+        for name, value in SPLITTING.items():
+            spark.conf.set(name, value)
+        got = removal_digests(documents(spark, rows).repartition(8), most_kinds=40).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {r.doc_id: r.n_removed for r in got} == gone
+
+
 def test_removing_repeats_keeps_rows_and_whole_characters(spark):
     docs = documents(spark).withColumnRenamed("length", "n_chars")
     out = remove_repeats(docs).collect()
