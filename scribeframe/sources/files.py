@@ -1,8 +1,9 @@
 """File-tree scans.
 
-Spark lists the folders and gives each task its share of the files. Names that
-start with ``.`` or ``_`` and empty files are never listed; ``unlisted_files``
-names them, and ``scan_benchmark`` puts them among its warnings. Keys come from the path: ``stem`` is
+Spark lists the folders and gives each task its share of the files; text, STM,
+TRS and subtitle files, which may be many, are listed by tasks as well
+(``sources/listing.py``). Names that start with ``.`` or ``_`` and empty files
+are never listed; ``unlisted_files`` names them, and ``scan_benchmark`` puts them among its warnings. Keys come from the path: ``stem`` is
 the file name without its suffix, ``subset`` the folder two levels up.
 """
 
@@ -28,7 +29,8 @@ from scribeframe.operators.curate import MIN_TEXT_LENGTH, SAMPLING_RATE
 from scribeframe.operators.match import COURSE_AUDIO, TRANSCRIPT_AUDIO, attach_preferred_audio, texts_with_audio
 from scribeframe.operators.places import PATH, RANK, SPLIT, numbered, with_places
 from scribeframe.session import stage
-from scribeframe.storage import has_files, literally, matches, matching_folders, path_exists, unlisted_files
+from scribeframe.sources.listing import folders_with, scan_files
+from scribeframe.storage import literally, matches, matching_folders, path_exists, unlisted_files
 
 # Audio extensions (lower or all upper case), the course folder
 # left out, and the folder names of the trees.
@@ -101,12 +103,11 @@ def scan_audio(
     )
 
 
-def _scan_text(spark: SparkSession, folders: Sequence[str], glob: str) -> DataFrame:
+def _scan_text(spark: SparkSession, folders: Sequence[str], suffix: str) -> DataFrame:
     """``path, subset, stem, content``: one row per file, read as UTF-8."""
-    files = spark.read.option("pathGlobFilter", glob).text(list(folders), wholetext=True)
-    read = files.select(
-        _decoded(F.col("_metadata.file_path")).alias("path"),
-        unix_newlines(F.col("value")).alias("content"),
+    read = scan_files(spark, folders, suffix).select(
+        F.regexp_replace("path", "^file:/+", "file:///").alias("path"),
+        unix_newlines(F.col("content").cast("string")).alias("content"),
     )
     keys = [value.alias(name) for name, value in _keys(F.col("path")).items()]
     return read.select("path", *keys, "content")
@@ -114,7 +115,7 @@ def _scan_text(spark: SparkSession, folders: Sequence[str], glob: str) -> DataFr
 
 def scan_references(spark: SparkSession, *folders: str) -> DataFrame:
     """``path, subset, stem, reference``: each ``.txt`` file, stripped."""
-    files = _scan_text(spark, folders, "*.txt")
+    files = _scan_text(spark, folders, ".txt")
     return files.select("path", "subset", "stem", strip(F.col("content")).alias("reference"))
 
 
@@ -152,7 +153,7 @@ def scan_benchmark(
 
 def scan_stm(spark: SparkSession, *folders: str, drop_label: bool = False) -> DataFrame:
     """``path, subset, stem, text``: the speech of each STM file in file order."""
-    files = _scan_text(spark, folders, "*.stm")
+    files = _scan_text(spark, folders, ".stm")
     text = stm_transcript(F.col("content"), drop_label)
     return files.select("path", "subset", "stem", text.alias("text"))
 
@@ -194,7 +195,7 @@ def scan_trs(
     unreadable: str | None = "",
 ) -> DataFrame:
     """``path, subset, stem, text`` of TRS files; unreadable XML gives the text ``unreadable``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.trs").load(list(folders))
+    files = scan_files(spark, folders, ".trs")
     text = F.coalesce(trs_transcript(F.col("content"), element_text_only), F.lit(unreadable))
     keys = [value.alias(name) for name, value in _keys(F.col("path")).items()]
     return files.select("path", *keys, text.alias("text"))
@@ -204,7 +205,7 @@ def scan_subtitles(spark: SparkSession, *folders: str, form: str = "srt") -> Dat
     """``path, subset, stem, text`` of SRT or VTT files."""
     if form not in ("srt", "vtt"):
         raise ValueError("form is 'srt' or 'vtt'")
-    files = _scan_text(spark, folders, f"*.{form}")
+    files = _scan_text(spark, folders, f".{form}")
     return files.select("path", "subset", "stem", subtitle_transcript(F.col("content")).alias("text"))
 
 
@@ -221,7 +222,7 @@ def text_references(
     spark: SparkSession, text_folder: str, audio_folder: str | None = None
 ) -> DataFrame:
     """``stem, reference``: text files unchanged, if given only those that have audio."""
-    texts = _scan_text(spark, [text_folder], "*.txt").select(
+    texts = _scan_text(spark, [text_folder], ".txt").select(
         "stem", F.col("content").alias("reference")
     )
     if audio_folder is None:
@@ -246,7 +247,7 @@ def discover_courses(
         for folder in matching_folders(spark, f"{root}/data/*/{MANUAL_FOLDER}")
         if not (course := folder.split("/")[-2]).startswith(".") and course != INCOMPLETE_COURSES
     ]
-    timed = [folder for folder in folders if has_files(spark, folder, ".stm")]
+    timed = folders_with(spark, folders, ".stm")
     others = sorted(set(folders) - set(timed))
     course = path_segment(F.col("path"), 3).alias("course")
     texts = spark.createDataFrame([], "course string, stem string, text string")

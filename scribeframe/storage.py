@@ -42,6 +42,12 @@ def matching_folders(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(one.getPath().toString() for one in system.globStatus(target) or [] if one.isDirectory())
 
 
+def roots(spark: SparkSession, pattern: str) -> list[tuple[str, bool]]:
+    """What a path, with wildcards or without, names, and whether it is a folder."""
+    target, system = _open(spark, pattern)
+    return [(one.getPath().toString(), one.isDirectory()) for one in system.globStatus(target) or []]
+
+
 def has_files(spark: SparkSession, folder: str, suffix: str) -> bool:
     """Whether a scan of a folder for a suffix would list anything.
 

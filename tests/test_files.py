@@ -13,7 +13,7 @@ from scribeframe.operators.curate import metadata_rows, validate
 from scribeframe.operators.hooks import evaluate_model, transcribe
 from scribeframe.plans.benchmark import run_benchmark
 from scribeframe.plans.training import prepare_training, training_batches
-from scribeframe.sources import corpus, files
+from scribeframe.sources import corpus, files, listing
 from scribeframe.storage import unlisted_files
 
 
@@ -236,3 +236,67 @@ def test_listing_of_a_store_that_arrow_cannot_open(spark, tmp_path, monkeypatch)
     assert storage.unlisted_files(spark, str(tmp_path)) == ["a.txt"]
     monkeypatch.undo()
     assert storage._listed_by_arrow("nosuch://store/folder") is None
+
+
+def test_courses_of_many_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    said = "assez de mots pour compter"
+    for course, suffixes in {"timed": (".stm", ".trs"), "plain [1]": (".trs",), "empty": (".trs",)}.items():
+        folder = tmp_path / "data" / course / "trs_manu"
+        folder.mkdir(parents=True)
+        for suffix in suffixes:
+            form = "f 1 s 0 1 %s" if suffix == ".stm" else "<T><Turn>%s</Turn></T>"
+            for k in range(150):
+                (folder / f"{k}{suffix}").write_text(form % (said if k % 50 else "non"), encoding="utf-8")
+    (tmp_path / "data" / "empty" / "trs_manu" / "0.stm").touch()
+    (tmp_path / "data" / "empty" / "trs_manu" / ".1.stm").write_text("x")
+
+    def on_the_driver(*_):
+        raise AssertionError("a folder is listed on the driver")
+
+    for module in (files, listing, storage):
+        for name in ("has_files", "unlisted_files", "file_facts"):
+            monkeypatch.setattr(module, name, on_the_driver, raising=False)
+    found = files.discover_courses(spark, str(tmp_path))
+    assert not [name for name in found.inputFiles() if name.endswith((".stm", ".trs"))]
+    assert {(r.course, r.stem, r.text, r.reason) for r in found.collect()} == {
+        (course, f"{k}", said if k % 50 else "non", None if k % 50 else "too short")
+        for course in ("timed", "plain [1]", "empty")
+        for k in range(150)
+    }
+
+
+def test_tasks_list_what_sparks_scan_lists(spark, tmp_path, monkeypatch):
+    names = ["a.txt", "é+ %2F[x]{y}.txt", "_hidden.txt", ".dot.txt", "_k=v.txt", "empty.txt", "o.TXT", "b.text", "z._COPYING_", "q?#&.txt"]
+    for folder in ("x y", "x z%20", "é [1]"):
+        (tmp_path / folder / "below.txt").mkdir(parents=True)
+        (tmp_path / folder / "below.txt" / "c.txt").write_text("below")
+        for name in names:
+            (tmp_path / folder / name).write_bytes(b"" if name == "empty.txt" else f"{folder}\r\n{name}".encode() + b"\xff")
+        (tmp_path / folder / "link.txt").symlink_to(tmp_path / folder / "a.txt")
+        (tmp_path / folder / "gone.txt").symlink_to(tmp_path / "nothing")
+    literal = storage.literally(str(tmp_path / "é [1]"))
+    for given in ([f"{tmp_path}/x*"], [literal, f"{tmp_path}/x y"], [f"{tmp_path}/x y/*.txt"], [f"file://{tmp_path}/x y/a.txt"]):
+        both = []
+        for few in (-1, 10**9):
+            monkeypatch.setattr(listing, "FEW", few)
+            found = listing.scan_files(spark, given, ".txt")
+            assert any(name.endswith(".txt") for name in found.inputFiles()) == (few > 0)
+            both.append(sorted((r.path, bytes(r.content)) for r in found.collect()))
+        assert both[0] == both[1] and both[0]
+    assert listing.folders_with(spark, [f"{tmp_path}/x y", f"{tmp_path}/é [1]", f"{tmp_path}/x y/below.txt"], ".text") == sorted(
+        f"file:{tmp_path}/{folder}" for folder in ("x y", "é [1]")
+    )
+    for few in (-1, 10**9):
+        monkeypatch.setattr(listing, "FEW", few)
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            listing.scan_files(spark, [f"{tmp_path}/absent"], ".txt")
+
+
+def test_stores_that_arrow_cannot_open_are_left_to_spark(spark, tmp_path, monkeypatch):
+    for name, text in {"a.txt": "un", "b.txt": "", "c.stm": "x"}.items():
+        (tmp_path / name).write_text(text)
+    monkeypatch.setattr(listing, "FEW", -1)
+    monkeypatch.setattr(listing, "_opened", lambda path: (_ for _ in ()).throw(OSError("no such store")))
+    assert [r.reference for r in files.scan_references(spark, str(tmp_path)).collect()] == ["un"]
+    assert listing.folders_with(spark, [str(tmp_path)], ".stm") == [str(tmp_path)]
+    assert listing.folders_with(spark, [], ".stm") == []
