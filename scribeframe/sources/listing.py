@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribeframe.session import spread, stage
-from scribeframe.storage import has_files, literally, roots
+from scribeframe.storage import has_files, literally, roots, unlisted_files
 
 # So few files are left to Spark's own scan.
 FEW = 100
@@ -193,6 +193,15 @@ def scan_files(spark: SparkSession, folders: Sequence[str], suffix: str) -> Data
     return found.select("path", "content")
 
 
+def unlisted_names(spark: SparkSession, folder: str) -> DataFrame:
+    """``name`` of what ``unlisted_files`` returns, listed by a task."""
+    places = _places(spark, [literally(folder)])
+    if places is None:
+        return spark.createDataFrame([(name,) for name in unlisted_files(spark, folder)], "name string")
+    found = _listed(spark, places, lambda n: not n.endswith(".crc"), lambda n, size: size == 0 or is_hidden(n))
+    return found.select("name")
+
+
 def folders_with(spark: SparkSession, folders: Sequence[str], suffix: str) -> list[str]:
     """Those of the folders in which a scan for a suffix would list anything; each is listed as far as the first such file."""
     if not folders:

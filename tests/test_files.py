@@ -238,6 +238,18 @@ def test_listing_of_a_store_that_arrow_cannot_open(spark, tmp_path, monkeypatch)
     assert storage._listed_by_arrow("nosuch://store/folder") is None
 
 
+def test_many_references_are_listed_and_read_by_tasks(spark, tmp_path):
+    texts = {f"{k}": f" un {k}" if k % 100 else "" for k in range(300)}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_text(text, encoding="utf-8")
+    (tmp_path / ".hidden.txt").write_text("x")
+    found = files.scan_references(spark, str(tmp_path))
+    assert not [name for name in found.inputFiles() if name.endswith(".txt")]  # the driver holds no file of the folder
+    assert {r.stem: r.reference for r in found.collect()} == {k: v.strip() for k, v in texts.items() if v}
+    assert {r.path for r in found.select("path").limit(300).collect()} == {f"file://{tmp_path}/{k}.txt" for k, v in texts.items() if v}
+    assert sorted(r.name for r in listing.unlisted_names(spark, str(tmp_path)).collect()) == unlisted_files(spark, str(tmp_path))
+
+
 def test_courses_of_many_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
     said = "assez de mots pour compter"
     for course, suffixes in {"timed": (".stm", ".trs"), "plain [1]": (".trs",), "empty": (".trs",)}.items():
@@ -298,5 +310,6 @@ def test_stores_that_arrow_cannot_open_are_left_to_spark(spark, tmp_path, monkey
     monkeypatch.setattr(listing, "FEW", -1)
     monkeypatch.setattr(listing, "_opened", lambda path: (_ for _ in ()).throw(OSError("no such store")))
     assert [r.reference for r in files.scan_references(spark, str(tmp_path)).collect()] == ["un"]
+    assert [r.name for r in listing.unlisted_names(spark, str(tmp_path)).collect()] == ["b.txt"]
     assert listing.folders_with(spark, [str(tmp_path)], ".stm") == [str(tmp_path)]
     assert listing.folders_with(spark, [], ".stm") == []

@@ -10,7 +10,7 @@ from scribeframe.functions.transcripts import unix_newlines
 from scribeframe.operators.places import PATH, SPLIT, numbered, order_breaks, with_places
 from scribeframe.session import fresh_path, spread, stage
 from scribeframe.sources import corpus, files
-from scribeframe.storage import unlisted_files
+from scribeframe.sources.listing import unlisted_names
 from workload.registry import documents, query, strip_sql, table
 
 _SAID = r"regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g')"
@@ -74,8 +74,7 @@ def exported_texts(spark, sf_dir):
     found = files.scan_references(spark, folder).select(
         sinks.id_of_stem(F.col("stem")).alias("id"), F.md5(F.encode("reference", "UTF-8")).alias("text_md5")
     )
-    names = [(name,) for name in unlisted_files(spark, folder)]
-    missed = spark.createDataFrame(names, "name string").select(
+    missed = unlisted_names(spark, folder).select(
         sinks.id_of_stem(F.regexp_replace("name", r"\.txt\z", "")).alias("id"),
         F.lit(None).cast("string").alias("text_md5"),
         F.lit("not listed").alias("reason"),
